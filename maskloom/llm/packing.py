@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import array
+import functools
+import gc
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,15 +18,16 @@ from pyspark.sql import functions as F
 from maskloom.llm import common
 
 END_ID = 1
-#: Words whose ids a worker keeps; the store is emptied when it is full.
-KEPT = 400_000
+#: Units between white space whose ids a worker keeps; the store is emptied when it is full.
+KEPT = 500_000
 
-# How the word vocabulary splits lower-cased text, for characters up to U+017F.
+# How the word vocabulary splits lower-cased text, for characters up to U+017F, and the letters of its bytes.
 _L = "a-zªµºß-öø-ſ"
 _N = "0-9²³¹¼-¾"
-_S = "\t-\r \u0085 "
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_PLAIN = re.compile(r"[\x00-¿À-įĲ-ľŁ-ňŊ-ž]*")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-¿À-įĲ-ľŁ-ňŊ-ž]*")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = {x: 256 + i for i, x in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
 
 
 def word_path() -> str:
@@ -31,10 +36,18 @@ def word_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process, which keeps what it learned from task to task."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
-    """Ids of whole texts under a word vocabulary. The vocabulary treats every word alone, so the ids of a word are kept.
+    """Ids of whole texts under a word vocabulary.
 
-    Texts with characters beyond U+017F, or with a special token's string, go through the tokenizer as a whole.
+    The vocabulary parts text at white space and treats every piece alone, so units between white space are
+    encoded once: Arrow splits a batch and numbers its units, and the units' ids are gathered by number. Texts
+    with characters beyond U+017F, or with a special token's string, go through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -43,30 +56,67 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
+        self.ends: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a lower-cased unit without white space."""
+        if unit.isalpha() and "ª" not in unit and "º" not in unit:
+            return self._piece(unit)
+        core = unit.rstrip(".,;:!?")
+        if core and core != unit:
+            end = unit[len(core) :]
+            start = self.known.get(core)
+            if start is None:
+                start = self.known[core] = self._unit(core)
+            return start + (self.ends.get(end) or self.ends.setdefault(end, self._piece(end)))
+        return b"".join(map(self._piece, _PIECE.findall(unit)))
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_HIDDEN)
+        elif not piece.isalnum():
+            piece = piece.translate(_HIDDEN)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _units(self, texts: list[str]) -> list[np.ndarray]:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        units, known = coded.dictionary.to_pylist(), self.known
+        if len(known) > KEPT:
+            known.clear()
+            self.ends.clear()
+        each = list(map(known.get, units))
+        for i, x in enumerate(each):
+            if x is None:
+                each[i] = known[units[i]] = self._unit(units[i])
+        each.append(np.uint32(END_ID).tobytes())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, starts = np.frombuffer(b"".join(each), np.uint32), np.cumsum(sizes) - sizes
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        unit = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(units))
+        n = sizes[unit]
+        upto = np.cumsum(n)
+        flat = ids[np.repeat(starts[unit] - (upto - n), n) + np.arange(upto[-1])]
+        return np.split(flat, upto[ends + np.arange(len(ends))][:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without special tokens, and END_ID."""
         out: list = [None] * len(texts)
         plain, whole = [], []
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not ("<|" in t and any(s in t for s in self.special)):
-                plain.append((i, _PIECE.findall(t.lower())))
-            else:
-                whole.append(i)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        missing = list(set().union(*(w for _, w in plain)).difference(self.known)) if plain else []
-        for a in range(0, len(missing), 20_000):
-            part = missing[a : a + 20_000]
-            self.known.update(zip(part, self._encoded(part), strict=True))
-        known = self.known
-        for i, w in plain:
-            out[i] = b"".join([known[x] for x in w])
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            (plain if _PLAIN.fullmatch(t) and not ("<|" in t and any(s in t for s in self.special)) else whole).append(i)
+        if plain:
+            collects = gc.isenabled()
+            gc.disable()  # millions of small values that refer to nothing
+            try:
+                for i, ids in zip(plain, self._units([texts[i] for i in plain]), strict=True):
+                    out[i] = ids
+            finally:
+                if collects:
+                    gc.enable()
+        if whole:
+            for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = np.array([*e.ids, END_ID], np.uint32)
         return out
 
 
@@ -74,15 +124,15 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     """First pass: (part, before, id, n, ids), where `before` counts the partition's tokens before the document."""
 
     def run(batches):
-        encode, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in common.slices(batch, "t", 1 << 20):
-                ids = [x + END_ID.to_bytes(4, "little") for x in encode(common.column(piece, "t").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for piece in common.slices(batch, "t", 6 << 20):
+                ids = encode(common.column(piece, "t").to_pylist())
+                n = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 # ids below 2**16 are stored in two bytes
-                small = [a.astype("<u2").tobytes() if not len(a) or a.max() < 65536 else x for x in ids for a in [np.frombuffer(x, "<u4")]]
+                small = [(x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(starts), common.column(piece, id_col), pa.array(n), pa.array(small, pa.binary())], ["part", "before", id_col, "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
