@@ -153,6 +153,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, id_col: str
     tokens = common.materialize(tokenized(docs, path or word_path(), id_col, text_col), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    base = common.materialize(base, "offsets")  # of known size, so that Spark sends it rather than shuffle the tokens while it is small
     placed = tokens.join(base, "part").select(id_col, (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches):
