@@ -113,7 +113,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     good = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text_col) <= SAMPLE_BYTES) & F.col(text_col).rlike(r"\p{L}"))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30))
     keyed = good.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), at.alias("at"))
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = common.materialize(keyed.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # of known size, so that Spark sends it while it is small
     near = keyed.join(counts, "lang").filter(F.col("at") * F.col("n") < F.lit(4 * most << 30).cast("double"))
     first = Window.partitionBy("lang").orderBy("at", "text")
     rows = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most).select("lang", "text", "r").collect()
