@@ -47,7 +47,7 @@ class Model:
         """For each order the column of every code, and a spare last column for codes outside the vocabulary."""
         out, at, spare = [], 0, self.landmarks.shape[1]
         for order, codes in zip(ORDERS, self.vocabulary, strict=True):
-            t = np.full(256**order, spare, np.int32)
+            t = np.full(256**order, spare, np.uint16 if spare < 1 << 16 else np.int32)
             t[codes] = at + np.arange(len(codes))
             at += len(codes)
             out.append(t)
