@@ -101,9 +101,9 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str
     return docs.select("*", *names, row_id.cast("string").alias("__id")), leaf
 
 
-def bucket_of(row_id: Column, seed: int) -> Column:
+def bucket_of(row_id: Column, seed: int, prefix: str = "") -> Column:
     """Bucket of a row in the order of its leaf's last epoch (`whole`); needs the leaf's columns beside it."""
-    return F.shiftright(_head(order_key(row_id, F.col("whole"), seed)) * F.col("buckets"), 32)
+    return F.shiftright(_head(order_key(row_id, F.col(f"{prefix}whole"), seed)) * F.col(f"{prefix}buckets"), 32)
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
@@ -113,16 +113,18 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     none is given, 0 for nothing. The budget is `share` of all tokens. A leaf's rows are taken once for each whole
     epoch, then those of the next epoch, in the order of its key, whose running token total stays within the rest.
     Null names are the empty name; null texts have no tokens and come with whole epochs or at a prefix's start; rows
-    that repeat are taken each, ties in the order going by token count. An empty table gives an empty table.
+    that repeat are taken each, ties in the order going by token count. An input column `epoch` gives way to the
+    operator's. An empty table gives an empty table.
     """
     tokens = words_in(F.col("text")) if tokens is None else tokens
     rows, leaf = plan(docs, levels, weights, tokens, F.col(id_col), share, epochs, seed)
-    placed = rows.join(leaf, list(LEVELS)).withColumn("bucket", bucket_of(F.col("__id"), seed))
-    columns = [*[F.col(c) for c in docs.columns], *[F.col(c) for c in LEVELS]]
-    take = F.when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), F.col("whole")).otherwise(F.col("whole") - 1)
-    take = F.when(F.col("rest") > 0, take).otherwise(F.col("whole") - 1)
-    whole = placed.withColumn("epoch", F.explode(F.when(take >= 0, F.sequence(F.lit(0), F.greatest(take, F.lit(0)))))).select(*columns, "epoch")
-    edge = placed.filter((F.col("rest") > 0) & (F.col("bucket") == F.col("cut"))).withColumn("__tok", tokens).withColumn("__key", order_key(F.col("__id"), F.col("whole"), seed))
+    leaf = leaf.select(*LEVELS, *[F.col(c).alias(f"__{c}") for c in ("whole", "rest", "buckets", "cut", "before")])
+    placed = rows.join(leaf, list(LEVELS)).withColumn("__bucket", bucket_of(F.col("__id"), seed, "__"))
+    columns = [*[F.col(c) for c in docs.columns if c != "epoch"], *[F.col(c) for c in LEVELS]]
+    take = F.when(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")), F.col("__whole")).otherwise(F.col("__whole") - 1)
+    take = F.when(F.col("__rest") > 0, take).otherwise(F.col("__whole") - 1)
+    whole = placed.withColumn("__epoch", F.explode(F.when(take >= 0, F.sequence(F.lit(0), F.greatest(take, F.lit(0)))))).select(*columns, F.col("__epoch").alias("epoch"))
+    edge = placed.filter((F.col("__rest") > 0) & (F.col("__bucket") == F.col("__cut"))).withColumn("__tok", tokens).withColumn("__key", order_key(F.col("__id"), F.col("__whole"), seed))
     run = Window.partitionBy(*LEVELS).orderBy("__key", "__tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("__upto", F.col("before") + F.sum("__tok").over(run)).filter(F.col("__upto") <= F.col("rest"))
-    return whole.unionByName(edge.select(*columns, F.col("whole").alias("epoch")))
+    edge = edge.withColumn("__upto", F.col("__before") + F.sum("__tok").over(run)).filter(F.col("__upto") <= F.col("__rest"))
+    return whole.unionByName(edge.select(*columns, F.col("__whole").alias("epoch")))
