@@ -573,3 +573,9 @@ def spanning_trees(spark, sf_dir):
 @query()
 def global_placement(spark, sf_dir):
     return place.global_placed(view(spark, sf_dir, "net_pins"))
+
+
+from maskloom import queries_io  # noqa: E402
+
+QUERIES |= queries_io.QUERIES
+SQL |= queries_io.SQL
