@@ -107,3 +107,44 @@ def annotated(edges: DataFrame, delays: DataFrame) -> DataFrame:
     """Edges with the delay of a (src, dst, delay) table where it has one; also whether it had."""
     new = delays.groupBy("src", "dst").agg(F.last("delay").alias("new"))
     return edges.join(new, ["src", "dst"], "left").withColumn("updated", F.col("new").isNotNull()).withColumn("delay", F.coalesce("new", "delay")).drop("new")
+
+
+def excepted(slack: DataFrame, exceptions: DataFrame, period: int) -> DataFrame:
+    """(node, slack, rule): slack under path exceptions (seq, node, rule, value), the last that names an endpoint holding.
+
+    false: no limit (null); multicycle: value periods; max_delay: value. Other endpoints keep their slack.
+    """
+    last = exceptions.groupBy("node").agg(F.max_by(F.struct("rule", "value"), "seq").alias("e")).select("node", "e.rule", "e.value")
+    limit = F.when(F.col("rule") == "multicycle", F.col("value") * period - F.col("arrival")).when(F.col("rule") == "max_delay", F.col("value") - F.col("arrival"))
+    return slack.join(last, "node", "left").select("node", F.when(F.col("rule").isNull(), F.col("slack")).otherwise(limit).alias("slack"), "rule")
+
+
+def common_clock(edges: DataFrame, root: int, pairs: DataFrame) -> DataFrame:
+    """(launch, capture, common): the latest clock arrival among the nodes from which both ends can be reached; 0 if there is none.
+
+    Ancestors of all ends are found together, one join for each level, among the nodes below the root.
+    """
+    spark = edges.sparkSession
+    clock = materialize(arrivals(edges, spark.createDataFrame([(root, 0)], "node bigint, value bigint")), "clock")
+    ends = pairs.select(F.col("launch").alias("n")).union(pairs.select("capture")).distinct()
+    back = edges.select(F.col("dst").alias("p"), F.col("src").alias("q"))
+    front = materialize(ends.select("n", F.col("n").alias("up")), "ancestors")
+    known = front
+    while not front.isEmpty():
+        step = front.join(back, F.col("up") == F.col("p")).select("n", F.col("q").alias("up")).distinct()
+        front = materialize(step.join(known, ["n", "up"], "left_anti"), "ancestors")
+        known = materialize(known.unionAll(front), "ancestors")
+    up = known.join(clock.select(F.col("node").alias("up"), F.col("value").alias("at")), "up")
+    a, b = up.select(F.col("n").alias("launch"), "up", "at"), up.select(F.col("n").alias("capture"), "up")
+    best = pairs.join(a, "launch").join(b, ["capture", "up"]).groupBy("launch", "capture").agg(F.max("at").alias("common"))
+    return pairs.join(best, ["launch", "capture"], "left").select("launch", "capture", F.coalesce("common", F.lit(0)).alias("common"))
+
+
+def half_crossing(currents: DataFrame, cap: float, vdd: float) -> DataFrame:
+    """(key, delay): when the integral of current over time, by trapezoids and over the load, first reaches half of vdd; 0 if never."""
+    w = Window.partitionBy("key").orderBy("t")
+    step = F.coalesce((F.col("i") + F.lag("i").over(w)) / 2 * (F.col("t") - F.lag("t").over(w)), F.lit(0.0))
+    v = currents.withColumn("dv", step).withColumn("v", F.sum("dv").over(w) / cap)
+    v = v.withColumn("pv", F.lag("v").over(w)).withColumn("pt", F.lag("t").over(w))
+    cross = F.when((F.col("pv") < vdd / 2) & (F.col("v") >= vdd / 2), F.col("pt") + (vdd / 2 - F.col("pv")) / (F.col("v") - F.col("pv")) * (F.col("t") - F.col("pt")))
+    return v.groupBy("key").agg(F.coalesce(F.min(cross), F.lit(0.0)).alias("delay"))

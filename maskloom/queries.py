@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom import queries_io
 from maskloom.functions import geometry as G
-from maskloom.operators import connect, drc, place, region, spatial, timing
+from maskloom.operators import connect, correct, drc, kernels, place, region, spatial, timing
 from maskloom.plans import graph
 from maskloom.plans.views import view, with_views
 
@@ -260,7 +261,7 @@ def drc_report(spark, sf_dir):
 
 def _area_sql(keep: str) -> str:
     """Area by layer group over unit slabs: x cuts, then covered y length by a window, without tiles."""
-    return f"""WITH r AS (SELECT CAST(layer // 2 AS BIGINT) AS g, layer % 2 AS side, x0, y0, x1, y1 FROM rects WHERE x0 < 4000 AND y0 < 4000),
+    return f"""WITH r AS (SELECT CAST(layer // 2 AS BIGINT) AS g, layer % 2 AS side, x0, y0, x1, y1 FROM rects),
     c AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) AS nx FROM (SELECT DISTINCT g, unnest([x0, x1]) AS x FROM r)),
     s AS (SELECT r.g, c.x, c.nx, side, y0, y1 FROM c JOIN r ON r.g = c.g AND r.x0 <= c.x AND r.x1 >= c.nx WHERE c.nx IS NOT NULL),
     e AS (SELECT g, x, nx, y, sum(d) FILTER (side = 0) AS da, sum(d) FILTER (side = 1) AS db FROM (SELECT g, x, nx, side, y0 AS y, 1 AS d FROM s UNION ALL SELECT g, x, nx, side, y1, -1 FROM s) GROUP BY g, x, nx, y),
@@ -269,7 +270,7 @@ def _area_sql(keep: str) -> str:
 
 
 def _two(spark, sf_dir):
-    r = view(spark, sf_dir, "rects").filter("x0 < 4000 and y0 < 4000").withColumn("g", F.expr("cast(layer div 2 as int)"))
+    r = view(spark, sf_dir, "rects").withColumn("g", F.expr("cast(layer div 2 as int)"))
     return r.filter("layer % 2 = 0"), r.filter("layer % 2 = 1")
 
 
@@ -289,12 +290,12 @@ _boolean("region_xor", region.XOR, "(a > 0) <> (b > 0)")
 
 @query(_area_sql("a > 0").replace("SELECT CAST(layer // 2 AS BIGINT) AS g, layer % 2 AS side, x0, y0, x1, y1", "SELECT CAST(layer AS BIGINT) AS g, 0 AS side, x0 - 5 AS x0, y0 - 5 AS y0, x1 + 5 AS x1, y1 + 5 AS y1"), "rects")
 def region_size(spark, sf_dir):
-    r = view(spark, sf_dir, "rects").filter("x0 < 4000 and y0 < 4000").withColumn("g", F.col("layer"))
+    r = view(spark, sf_dir, "rects").withColumn("g", F.col("layer"))
     return region.area(region.sized(r, 5, ["g"]), ["g"])
 
 
 @query(
-    _area_sql("a > 0 AND b <= 0").replace("WHERE x0 < 4000 AND y0 < 4000", "WHERE x0 < 4000 AND y0 < 4000 AND (layer % 2 = 0 OR id % 3 = 0)").replace("SELECT CAST(g AS INTEGER) AS g,", "SELECT 'rule' || g AS rule,"),
+    _area_sql("a > 0 AND b <= 0").replace("x1, y1 FROM rects)", "x1, y1 FROM rects WHERE layer % 2 = 0 OR id % 3 = 0)").replace("SELECT CAST(g AS INTEGER) AS g,", "SELECT 'rule' || g AS rule,"),
     "rects",
 )
 def waivers(spark, sf_dir):
@@ -306,12 +307,12 @@ def waivers(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE p AS (SELECT * FROM rects WHERE layer = 2 AND x0 < 3000 AND y0 < 3000), l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND {_TOUCH}),
+    f"""WITH RECURSIVE p AS (SELECT * FROM rects), l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.layer = b.layer AND a.id <> b.id AND {_TOUCH}),
     r AS (SELECT id, id AS c FROM p UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a) SELECT id, min(c) AS net FROM r GROUP BY id""",
     "rects",
 )
 def net_components(spark, sf_dir):
-    return connect.nets(_layer(spark, sf_dir, 2).filter("x0 < 3000 and y0 < 3000"))
+    return connect.nets(view(spark, sf_dir, "rects"))
 
 
 @query("SELECT id, CAST(7 AS DOUBLE) * greatest(x1 - x0, y1 - y0) / greatest(least(x1 - x0, y1 - y0), 1) AS resistance, (x1 - x0) * (y1 - y0) * 3 + 2 * (x1 - x0 + y1 - y0) * 5 AS ground_cap FROM rects", "rects")
@@ -575,7 +576,113 @@ def global_placement(spark, sf_dir):
     return place.global_placed(view(spark, sf_dir, "net_pins"))
 
 
-from maskloom import queries_io  # noqa: E402
+# --- corrections, fill, exceptions and kernels ---------------------------------------------------
+
+
+@query(
+    " UNION ALL ".join(f"SELECT id, '{s}' AS side, {x} - 6 AS x0, {y} - 6 AS y0, {x} + 6 AS x1, {y} + 6 AS y1 FROM rects WHERE layer = 3" for s, x, y in (("ll", "x0", "y0"), ("lr", "x1", "y0"), ("ul", "x0", "y1"), ("ur", "x1", "y1"))),
+    "rects",
+)
+def opc_serifs(spark, sf_dir):
+    return correct.serifs(_layer(spark, sf_dir, 3), 12)
+
+
+@query(
+    "SELECT id, 'left' AS side, x0 - 8 AS x0, y0 - 8 AS y0, x0 AS x1, y1 + 8 AS y1 FROM rects WHERE (y1 - y0) * 2 <= 120 UNION ALL SELECT id, 'right', x1, y0 - 8, x1 + 8, y1 + 8 FROM rects WHERE (y1 - y0) * 2 <= 120 "
+    "UNION ALL SELECT id, 'bottom', x0 - 8, y0 - 8, x1 + 8, y0 FROM rects WHERE (x1 - x0) * 2 <= 120 UNION ALL SELECT id, 'top', x0 - 8, y1, x1 + 8, y1 + 8 FROM rects WHERE (x1 - x0) * 2 <= 120",
+    "rects",
+)
+def opc_hammerheads(spark, sf_dir):
+    return correct.hammerheads(view(spark, sf_dir, "rects"), 40, 8)
+
+
+@query(
+    "SELECT id, 'left' AS side, x0 - 30 AS x0, y0, x0 - 20 AS x1, y1 FROM rects WHERE y1 - y0 >= 150 UNION ALL SELECT id, 'right', x1 + 20, y0, x1 + 30, y1 FROM rects WHERE y1 - y0 >= 150 "
+    "UNION ALL SELECT id, 'bottom', x0, y0 - 30, x1, y0 - 20 FROM rects WHERE x1 - x0 >= 150 UNION ALL SELECT id, 'top', x0, y1 + 20, x1, y1 + 30 FROM rects WHERE x1 - x0 >= 150",
+    "rects",
+)
+def opc_assist_bars(spark, sf_dir):
+    return correct.assist_bars(view(spark, sf_dir, "rects"), 150, 20, 10)
+
+
+_CORNERS = "c AS (SELECT id, unnest([0, 1, 2, 3]) AS k, unnest([x0, x0, x1, x1]) AS x, unnest([y0, y1, y1, y0]) AS y FROM rects WHERE layer = 1)"
+
+
+@query(f"WITH {_CORNERS} SELECT a.id AS a_id, b.id AS b_id, a.k AS a_k, b.k AS b_k, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS squared FROM c a JOIN c b ON a.id < b.id AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 WHERE squared > 0 AND squared < 3600", "rects")
+def lfd_near_corners(spark, sf_dir):
+    return correct.near_corners(_layer(spark, sf_dir, 1), 60)
+
+
+@query(
+    "WITH g AS (SELECT i, j, i * 100 + 500 AS x0, j * 100 + 500 AS y0, i * 100 + 560 AS x1, j * 100 + 560 AS y1 FROM range(25) a(i), range(25) b(j)) SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE r.x0 - 10 < g.x1 AND g.x0 < r.x1 + 10 AND r.y0 - 10 < g.y1 AND g.y0 < r.y1 + 10)",
+    "rects",
+)
+def density_fill(spark, sf_dir):
+    return correct.fill(view(spark, sf_dir, "rects"), (500, 500, 2960, 2960), 60, 100, 10)
+
+
+@query(
+    "WITH v AS (SELECT id, x0 AS x, y0 AS y, 1 + id % 3 AS n FROM rects WHERE layer = 0), a AS (SELECT *, unnest(range(n)) AS i FROM v), b AS (SELECT *, unnest(range(n)) AS j, ((n - 1) * 14 + 8) // 2 AS h FROM a) SELECT id, i, j, x - h + i * 14 AS x0, y - h + j * 14 AS y0, x - h + i * 14 + 8 AS x1, y - h + j * 14 + 8 AS y1 FROM b",
+    "rects",
+)
+def via_arrays(spark, sf_dir):
+    v = _layer(spark, sf_dir, 0).select("id", F.col("x0").alias("x"), F.col("y0").alias("y"), (1 + F.col("id") % 3).alias("n"))
+    return correct.via_cuts(v, 8, 14)
+
+
+_EXC = "SELECT node, CASE WHEN node % 5 = 0 THEN 'false' WHEN node % 5 = 1 THEN 'multicycle' ELSE 'max_delay' END AS rule, CASE WHEN node % 5 = 1 THEN 2 ELSE 250 END AS value"
+
+
+@query(f"{_SLACK}, x AS ({_EXC} FROM s WHERE node % 5 <= 2) SELECT s.node, CASE WHEN x.rule IS NULL THEN s.slack WHEN x.rule = 'multicycle' THEN x.value * 300 - arrival WHEN x.rule = 'max_delay' THEN x.value - arrival END AS slack, x.rule FROM s LEFT JOIN x USING (node)", "t_edges")
+def sta_exceptions(spark, sf_dir):
+    s = timing.slacks(_edges(spark, sf_dir), 300)
+    first = s.filter("node % 5 <= 2").select(F.lit(1).alias("seq"), "node", F.lit("max_delay").alias("rule"), F.lit(1).alias("value"))
+    second = s.filter("node % 5 <= 2").selectExpr("2 as seq", "node", "case when node % 5 = 0 then 'false' when node % 5 = 1 then 'multicycle' else 'max_delay' end as rule", "case when node % 5 = 1 then 2 else 250 end as value")
+    return timing.excepted(s, first.unionAll(second), 300)
+
+
+@query(
+    f"""WITH {_levels("SELECT src AS node, 0 AS value FROM t_edges WHERE src = 1007", "value + delay")}, RECURSIVEMARK p AS (SELECT DISTINCT 7000 + g.i AS launch, 8000 + (g.i * 3) % 50 AS capture FROM range(12) g(i)),
+    e AS (SELECT launch AS n FROM p UNION SELECT capture FROM p), u0 AS (SELECT n, n AS up FROM e), {", ".join(f"u{i + 1} AS (SELECT DISTINCT n, src AS up FROM u{i} JOIN t_edges ON dst = up)" for i in range(8))},
+    u AS (SELECT DISTINCT n, up, value FROM ({" UNION ALL ".join(f"SELECT * FROM u{i}" for i in range(9))}) JOIN v ON node = up)
+    SELECT p.launch, p.capture, CAST(coalesce(max(a.value) FILTER (b.up IS NOT NULL), 0) AS BIGINT) AS common FROM p LEFT JOIN u a ON a.n = p.launch LEFT JOIN u b ON b.n = p.capture AND b.up = a.up GROUP BY ALL""".replace("RECURSIVEMARK ", ""),
+    "t_edges",
+)
+def sta_common_clock(spark, sf_dir):
+    p = spark.range(12).select((7000 + F.col("id")).alias("launch"), (8000 + (F.col("id") * 3) % 50).alias("capture"))
+    return timing.common_clock(_edges(spark, sf_dir), 1007, p)
+
+
+@query(
+    """WITH s AS (SELECT CAST(user_id AS BIGINT) AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS t, abs(value) AS i FROM events WHERE value IS NOT NULL),
+    d AS (SELECT *, coalesce((i + lag(i) OVER w) / 2 * (t - lag(t) OVER w), 0) AS dv FROM s WINDOW w AS (PARTITION BY key ORDER BY t)), v AS (SELECT *, sum(dv) OVER (PARTITION BY key ORDER BY t) / 4.0 AS v FROM d),
+    c AS (SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt FROM v WINDOW w AS (PARTITION BY key ORDER BY t))
+    SELECT key, CAST(round(1000 * coalesce(min(CASE WHEN pv < 20.0 AND v >= 20.0 THEN pt + (20.0 - pv) / (v - pv) * (t - pt) END), 0)) AS BIGINT) AS delay FROM c GROUP BY key"""
+)
+def ccs_delay(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
+    t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("double")
+    waves = e.select(F.col("user_id").cast("bigint").alias("key"), t.alias("t"), F.abs("value").alias("i"))
+    return timing.half_crossing(waves, 4.0, 40.0).withColumn("delay", F.round(F.col("delay") * 1000).cast("bigint"))
+
+
+@query()
+def steiner_trees(spark, sf_dir):
+    return kernels.steiner_lengths(view(spark, sf_dir, "net_pins"))
+
+
+@query()
+def clock_trees(spark, sf_dir):
+    return kernels.clock_trees(view(spark, sf_dir, "net_pins"))
+
+
+@query()
+def negotiated_routes(spark, sf_dir):
+    p = view(spark, sf_dir, "net_pins").select((F.col("net") % 64).alias("region"), F.col("pin").alias("net"), (F.col("x") % 24).alias("sx"), (F.col("y") % 24).alias("sy"), (F.col("pin") * 7 % 24).alias("tx"), (F.col("pin") * 11 % 24).alias("ty"))
+    return kernels.region_routes(p, 24, 12)
+
 
 QUERIES |= queries_io.QUERIES
 SQL |= queries_io.SQL
