@@ -19,7 +19,7 @@ from maskloom.llm import common
 
 END_ID = 1
 #: Units between white space whose ids a worker keeps; the store is emptied when it is full.
-KEPT = 300_000
+KEPT = 400_000
 
 # How the word vocabulary splits lower-cased text, for characters up to U+017F, and the letters of its bytes.
 _L = "a-zªµºß-öø-ſ"
@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     def run(batches):
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in common.slices(batch, "t", 4 << 20):
+            for piece in common.slices(batch, "t", 6 << 20):
                 ids = encode(common.column(piece, "t").to_pylist())
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n

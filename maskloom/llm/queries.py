@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import chat, langid, licenses, media, mixing, neardup, packing, pii, substrings, topk
+from maskloom.llm import chat, common, langid, licenses, media, mixing, neardup, packing, pii, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
