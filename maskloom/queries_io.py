@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.plans.views import view, with_views
-from maskloom.sources import layout, netlists
+from maskloom.sources import layout, markup, netlists, oasis
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 def query(sql: str, *views: str):
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = with_views(sql, *views)
+        SQL[f.__name__] = with_views(sql, *views) if views else sql
         return f
 
     return add
@@ -43,6 +43,12 @@ def gds_round_trip(spark, sf_dir):
     return _back(cells.select(F.col("cell").alias("path"), F.concat(F.lit(layout.gds_head()), "content", F.lit(layout.gds_tail())).alias("content")), "gds")
 
 
+@query(_BOXES, "rects")
+def oasis_round_trip(spark, sf_dir):
+    cells = layout.encode_cells(_elements(view(spark, sf_dir, "rects")), "oas")
+    return _back(cells.select(F.col("cell").alias("path"), F.concat(F.lit(oasis.oasis_head()), "content", F.lit(oasis.oasis_tail())).alias("content")), "oas")
+
+
 @query(_BOXES, "rects")
 def cif_round_trip(spark, sf_dir):
     cells = layout.encode_cells(_elements(view(spark, sf_dir, "rects"), 20), "cif")
@@ -69,3 +75,24 @@ def def_round_trip(spark, sf_dir):
     p = view(spark, sf_dir, "placed")
     parts = p.select(F.concat(F.lit("U"), F.col("cell")).alias("name"), F.concat(F.lit("W"), F.col("w")).alias("master"), "x", (F.col("site_row") * 1400).cast("bigint").alias("y"), F.when(F.col("site_row") % 2 == 0, "N").otherwise("FS").alias("orient"))
     return netlists.read_def(netlists.write_def(parts, "top")).filter("kind = 'component'").select("name", "master", "x", "y", "orient")
+
+
+@query("SELECT concat('rule', layer) AS rule, concat('  <item>\n   <tags></tags>\n   <category>rule', layer, '</category>\n   <cell>top</cell>\n   <visited>false</visited>\n   <multiplicity>1</multiplicity>\n   <values>\n    <value>polygon: (', x0, ',', y0, ';', x0, ',', y1, ';', x1, ',', y1, ';', x1, ',', y0, ')</value>\n   </values>\n  </item>\n') AS value FROM rects", "rects")
+def report_items(spark, sf_dir):
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    r = view(spark, sf_dir, "rects").select(F.concat(F.lit("rule"), "layer").alias("rule"), F.array(point("x0", "y0"), point("x0", "y1"), point("x1", "y1"), point("x1", "y0")).alias("points"))
+    return markup.report_items(r, "top")
+
+
+@query("SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS seq, p_name AS name, concat(p_partkey % 256, '/', p_size, '@1') AS source, CAST(p_size AS INT) AS width, p_size % 2 = 0 AS visible FROM part")
+def layer_properties_round_trip(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    given = {"path": F.col("p_brand"), "seq": F.col("p_partkey"), "name": F.col("p_name"), "source": F.concat(F.col("p_partkey") % 256, F.lit("/"), "p_size", F.lit("@1")), "width": F.col("p_size"), "visible": F.col("p_size") % 2 == 0}
+    layers = part.select(*[given.get(c, F.lit(markup.TAGS.get(t))).alias(c) for t, c in {"path": "path", "seq": "seq", **markup.COLUMNS}.items()])
+    return markup.read_layer_properties(markup.write_layer_properties(layers)).select("path", "seq", "name", "source", "width", "visible")
+
+
+@query("SELECT concat('*  ', CASE WHEN net < 3 THEN 'pin' ELSE 'net' END, ' n', net, ': bbox=[', min(x), ',', min(y), ' ', max(x), ',', max(y), '], ', count(*), ' shapes') AS value FROM net_pins GROUP BY net UNION ALL SELECT unnest(['* CDL netlist', '.SUBCKT top n0 n1 n2', '* devices: (none)', '.ENDS top'])", "net_pins")
+def cdl_lines(spark, sf_dir):
+    nets = view(spark, sf_dir, "net_pins").groupBy("net").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("shapes"))
+    return netlists.write_cdl(nets.withColumn("net", F.concat(F.lit("n"), "net")), "top", ["n0", "n1", "n2"])

@@ -1,4 +1,4 @@
-"""Layout files as DataFrames: GDSII stream, CIF, MAG and DXF, read in parallel by file, and written by cell.
+"""Layout files as DataFrames: GDSII stream, OASIS, CIF, MAG and DXF, read in parallel by file, and written by cell.
 
 Every reader gives the same element rows, so that shapes and instances are filters on them:
 kind is box, polygon, path, text or ref; points are whole database units; a ref places `child` by rot, mirror, dx, dy
@@ -15,30 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.sources.elements import LayoutError, element, shape
+from maskloom.sources.oasis import oasis_cell, oasis_head, oasis_tail, parse_oasis
+
 ELEMENT = "path string, cell string, seq bigint, kind string, layer int, datatype int, points array<struct<x:bigint,y:bigint>>, width bigint, text string, child string, rot int, mirror boolean, cols int, rows int, col_x bigint, col_y bigint, row_x bigint, row_y bigint"
 _FIELDS = [f.split(" ")[0] for f in ELEMENT.split(", ")]
 
 
-class LayoutError(ValueError):
-    """The file does not follow its format."""
-
-
-def element(cell: str, kind: str, points, layer=None, datatype=None, **more) -> dict:
-    return {"cell": cell, "kind": kind, "layer": layer, "datatype": datatype, "points": [(int(x), int(y)) for x, y in points], **more}
-
-
-def _shape(cell: str, points: list, layer, datatype) -> dict:
-    """A polygon, or a box where four points make an upright rectangle."""
-    if len(points) > 1 and points[0] == points[-1]:
-        points = points[:-1]
-    if len(points) < 3:
-        raise LayoutError("a polygon of fewer than three points")
-    xs, ys = {p[0] for p in points}, {p[1] for p in points}
-    if len(points) == 4 and len(xs) == len(ys) == 2 and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(points, points[1:] + points[:1], strict=True)):
-        return element(cell, "box", [(min(xs), min(ys)), (max(xs), max(ys))], layer, datatype)
-    return element(cell, "polygon", points, layer, datatype)
-
-
 # --- GDSII stream --------------------------------------------------------------------------------
 
 # Record types and data types of the stream format.
@@ -113,7 +96,7 @@ def parse_gds(data: bytes) -> Iterator[dict]:
             if not xy or cell is None:
                 raise LayoutError("an element without place")
             if now["what"] in ("BOUNDARY", "BOX"):
-                yield _shape(cell, xy, now["layer"], now["type"])
+                yield shape(cell, xy, now["layer"], now["type"])
             elif now["what"] == "PATH":
                 yield element(cell, "path", xy, now["layer"], now["type"], width=now["width"])
             elif now["what"] == "TEXT":
@@ -202,7 +185,7 @@ def parse_cif(data: bytes) -> Iterator[dict]:
             yield element(cell or "TOP", "box", [(5 * (2 * x - w), 5 * (2 * y - h)), (5 * (2 * x + w), 5 * (2 * y + h))], layer, 0)
         elif word[0] == "P":
             v = [number(x) for x in word[1:]]
-            yield _shape(cell or "TOP", list(zip(v[::2], v[1::2], strict=True)), layer, 0)
+            yield shape(cell or "TOP", list(zip(v[::2], v[1::2], strict=True)), layer, 0)
         elif word[0] == "C":
             if cell is None:
                 continue  # the call of the top cell
@@ -291,7 +274,7 @@ def parse_dxf(data: bytes, unit: int = 1000) -> Iterator[dict]:
         if kind == "LINE":
             yield element(cell, "path", [(xs[0], ys[0]), (number(11), number(21))], layer, 0, width=0)
         elif kind == "LWPOLYLINE" and len(xs) > 2 and any(c == 70 and int(x) & 1 for c, x in entity):
-            yield _shape(cell, list(zip(xs, ys, strict=True)), layer, 0)
+            yield shape(cell, list(zip(xs, ys, strict=True)), layer, 0)
         elif kind == "LWPOLYLINE" and len(xs) > 1:
             yield element(cell, "path", list(zip(xs, ys, strict=True)), layer, 0, width=number(43))
         elif kind == "CIRCLE":
@@ -321,7 +304,7 @@ def parse_dxf(data: bytes, unit: int = 1000) -> Iterator[dict]:
     yield from done()
 
 
-FORMATS: dict[str, Callable[[bytes], Iterator[dict]]] = {"gds": parse_gds, "cif": parse_cif, "mag": parse_mag, "dxf": parse_dxf}
+FORMATS: dict[str, Callable[[bytes], Iterator[dict]]] = {"gds": parse_gds, "cif": parse_cif, "mag": parse_mag, "dxf": parse_dxf, "oas": parse_oasis}
 
 
 def parse(files: DataFrame, fmt: str) -> DataFrame:
@@ -386,16 +369,28 @@ def encode_cells(elements: DataFrame, fmt: str = "gds") -> DataFrame:
             for f in ("layer", "datatype", "width", "rot", "cols", "rows", "col_x", "col_y", "row_x", "row_y"):
                 r[f] = 0 if r.get(f) is None or r[f] != r[f] else int(r[f])
             rows.append(r)
-        body = gds_cell(key[0], rows) if fmt == "gds" else (cif_cell(int(key[0][1:]), rows) if fmt == "cif" else mag_cell(rows)).encode()
+        if fmt in _STREAMS:
+            body = _STREAMS[fmt][1](key[0], rows)
+        else:
+            body = (cif_cell(int(key[0][1:]), rows) if fmt == "cif" else mag_cell(rows)).encode()
         return pd.DataFrame({"cell": [key[0]], "content": [body]})
 
     return elements.groupBy("cell").applyInPandas(run, "cell string, content binary")
 
 
-def save_gds(elements: DataFrame, path: str) -> None:
+#: Formats of which a file is a head, the cells one after the other, and a tail.
+_STREAMS = {"gds": (gds_head, gds_cell, gds_tail), "oas": (oasis_head, oasis_cell, oasis_tail)}
+
+
+def save(elements: DataFrame, path: str, fmt: str) -> None:
     """One library file of all cells, by name; cells stream through the driver one partition at a time."""
+    head, _, tail = _STREAMS[fmt]
     with open(path, "wb") as out:
-        out.write(gds_head())
-        for row in encode_cells(elements).orderBy("cell").toLocalIterator():
+        out.write(head())
+        for row in encode_cells(elements, fmt).orderBy("cell").toLocalIterator():
             out.write(row.content)
-        out.write(gds_tail())
+        out.write(tail())
+
+
+def save_gds(elements: DataFrame, path: str) -> None:
+    save(elements, path, "gds")

@@ -250,3 +250,16 @@ def read_layermap(source: DataFrame) -> DataFrame:
     """(name, purpose, layer, datatype) from lines of these four; # and // begin comments. Spark expressions only."""
     line = source.select("path", F.posexplode(F.split("value", "\n")).alias("line", "v")).withColumn("w", F.split(F.trim(F.regexp_replace("v", r"(#|//).*$", "")), r"\s+"))
     return line.filter(F.size("w") >= 4).select("path", "line", F.col("w")[0].alias("name"), F.col("w")[1].alias("purpose"), F.col("w")[2].cast("int").alias("layer"), F.col("w")[3].cast("int").alias("datatype"))
+
+
+# --- CDL ---
+
+
+def write_cdl(nets: DataFrame, subcircuit: str, pins: list[str]) -> DataFrame:
+    """(value): lines of a subcircuit in order, its nets (net, x0, y0, x1, y1, shapes) as comments, those of `pins` marked."""
+    whole = lambda c: F.col(c).cast("string")
+    kind = F.when(F.col("net").isin(pins), "pin").otherwise("net") if pins else F.lit("net")
+    text = F.concat(F.lit("*  "), kind, F.lit(" "), F.col("net"), F.lit(": bbox=["), whole("x0"), F.lit(","), whole("y0"), F.lit(" "), whole("x1"), F.lit(","), whole("y1"), F.lit("], "), whole("shapes"), F.lit(" shapes"))
+    lines = nets.select(F.lit(1).alias("part"), F.col("net").alias("at"), text.alias("value"))
+    fixed = [(0, "0", "* CDL netlist"), (0, "1", " ".join([".SUBCKT", subcircuit, *pins])), (2, "0", "* devices: (none)"), (2, "1", f".ENDS {subcircuit}")]
+    return nets.sparkSession.createDataFrame(fixed, "part int, at string, value string").unionByName(lines).orderBy("part", "at").select("value")
