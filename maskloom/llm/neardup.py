@@ -32,7 +32,7 @@ GROUP_ROWS, GROUP_BYTES = 4096, 48 << 20
 
 
 def sets_of(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, print, sig): size, 128-bit fingerprint and minwise signature of each text's shingle set; null where it is empty."""
+    """(id, n, print, sig, short): size, 128-bit fingerprint, minwise signature and its low bytes of each text's shingle set; null where it is empty."""
 
     def run(batches):
         for batch in batches:
@@ -48,15 +48,15 @@ def sets_of(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                         two[k][some] = np.add.reduceat(common.mix(values ^ np.uint64(salt)), at[:-1][some])
                 prints = np.stack(two, 1)
                 ok = n > 0
-                made = [pa.array(n), pa.array([p.tobytes() if k else None for p, k in zip(prints, ok, strict=True)], pa.binary()), pa.array([s.tobytes() if k else None for s, k in zip(sig, ok, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([common.column(part, "id"), *made], ["id", "n", "print", "sig"])
+                made = [pa.array(n), pa.array([p.tobytes() if k else None for p, k in zip(prints, ok, strict=True)], pa.binary()), *[pa.array([s.tobytes() if k else None for s, k in zip(x, ok, strict=True)], pa.binary()) for x in (sig, sig.astype(np.uint8))]]
+                yield pa.RecordBatch.from_arrays([common.column(part, "id"), *made], ["id", "n", "print", "sig", "short"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t")).mapInArrow(run, "id bigint, n bigint, print binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t")).mapInArrow(run, "id bigint, n bigint, print binary, sig binary, short binary")
 
 
-def _signatures(col) -> np.ndarray:
+def _signatures(col, kind: type = np.uint32) -> np.ndarray:
     raw, _ = common.utf8(col)
-    return raw.view(np.uint32).reshape(-1, COORDINATES)
+    return raw.view(kind).reshape(-1, COORDINATES)
 
 
 def _children(node: np.ndarray, sig: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +144,17 @@ def _flat(parent: np.ndarray) -> np.ndarray:
 
 
 def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of the pairs in each node of rows (node, id, sig) whose signatures agree enough."""
+    """(a, b): a spanning forest of the pairs in each node of rows (node, id, short) whose signatures agree enough.
+
+    Low bytes agree wherever signatures do, so that comparing them loses no pair; false ones go when links are confirmed.
+    """
     least = _agreement(threshold)
 
     def run(batches):
         for table in _groups_of(batches, "node"):
             node = table.column("node").to_numpy()
             ids = table.column("id").to_numpy()
-            sig = _signatures(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"))
+            sig = _signatures(table.column("short").combine_chunks() if isinstance(table.column("short"), pa.ChunkedArray) else table.column("short"), np.uint8)
             edges = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] + 1))
             out_a, out_b = [], []
             sizes = np.diff(edges)
@@ -184,7 +187,7 @@ def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     n = common.partitions(rows.sparkSession)
-    return rows.select("node", "id", "sig").repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "id", "short").repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
 def _agreement(threshold: float) -> int:
@@ -193,7 +196,7 @@ def _agreement(threshold: float) -> int:
 
 
 def candidates(reps: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
-    """(a, b): links of the candidate graph over sets (id, sig) that differ from each other."""
+    """(a, b): links of the candidate graph over sets (id, sig, short) that differ from each other."""
     count = reps.count()
     depth = max(2, math.ceil(math.log(max(count, 1) / 16) / math.log(24))) if count > 16 else 1
     links = None
@@ -202,19 +205,20 @@ def candidates(reps: DataFrame, threshold: float, trees: int = TREES) -> DataFra
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
         shared = common.materialize(rows.join(sizes, "node").select("node", "id", "size", "lead"), "nodes")
         common.drop_table(rows)
-        withsig = shared.join(reps.select("id", "sig"), "id")
-        small, large = withsig.filter(F.col("size") <= LEAF), withsig.filter(F.col("size") > LEAF)
+        small = shared.filter(F.col("size") <= LEAF).join(reps.select("id", "short"), "id")
+        large = shared.filter(F.col("size") > LEAF)
         if level == DEEPER:
             # a node that does not part: chunks of LEAF sets by hash, each with the node's first set
+            large = large.join(reps.select("id", "short"), "id")
             chunk = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / LEAF))
             spread = large.filter("id <> lead").withColumn("node", F.xxhash64("node", chunk))
             leads = large.filter("id = lead").withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / LEAF) - 1))).withColumn("node", F.xxhash64("node", F.col("c").cast("long"))).drop("c")
             small = small.unionByName(spread.select(*small.columns)).unionByName(leads.select(*small.columns))
         part = common.materialize(_node_links(small, threshold).distinct(), "links")
         links = part if links is None else links.unionAll(part)
-        if level == DEEPER or shared.filter(F.col("size") > LEAF).isEmpty():
+        if level == DEEPER or large.isEmpty():
             break
-        rows = common.materialize(_branched(large), "paths")
+        rows = common.materialize(_branched(large.join(reps.select("id", "sig"), "id")), "paths")
     return links.distinct()
 
 
@@ -284,7 +288,7 @@ def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TR
     """
     info = common.materialize(sets_of(docs, words, id_col, text_col), "sets")
     named = info.filter("n > 0 and id is not null")
-    reps = common.materialize(named.groupBy("print").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
+    reps = common.materialize(named.groupBy("print").agg(F.min("id").alias("id"), F.min_by(F.struct("sig", "short"), "id").alias("s")).select("print", "id", "s.*"), "reps")
     links = common.materialize(candidates(reps, percent / 100, trees), "candidates")
     near = common.materialize(common.components(links, "groups"), "groups").select(F.col("node").alias("id"), F.col("comp").alias("grp"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t"))
