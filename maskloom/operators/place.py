@@ -94,13 +94,18 @@ def spanning_length(pins: DataFrame) -> DataFrame:
     return pins.groupBy("net").applyInPandas(tree, "net bigint, pins bigint, length bigint")
 
 
-def global_placed(pins: DataFrame, rounds: int = 3) -> DataFrame:
-    """(pin, x, y) after rounds of moving every pin half way to the mean of its net, in whole units."""
+def global_placed(pins: DataFrame, most: int = 200) -> DataFrame:
+    """(pin, x, y) after rounds of moving every pin half way to the mean of its net, in whole units, until the sum of half perimeters changes by less than 1."""
     from maskloom.plans.tables import materialize
 
-    at = pins
-    for _ in range(rounds):
+    wire = lambda at: half_perimeters(at).agg(F.coalesce(F.sum("hpwl"), F.lit(0))).first()[0]
+    half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    at, before = pins, wire(pins)
+    for _ in range(most):
         mean = at.groupBy("net").agg(F.round(F.avg("x")).cast("bigint").alias("mx"), F.round(F.avg("y")).cast("bigint").alias("my"))
-        half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
         at = materialize(at.join(mean, "net").select("net", "pin", half("x", "mx").alias("x"), half("y", "my").alias("y")), "placement")
-    return at
+        now = wire(at)
+        if abs(before - now) < 1:
+            return at
+        before = now
+    raise RuntimeError("the placement did not settle")

@@ -61,6 +61,7 @@ def flatten(instances: DataFrame, top: int, depth: int = 64) -> DataFrame:
     """(cell, depth, rot, mirror, dx, dy): every placement under a top cell, with composed transforms; the top itself at depth 0.
 
     One join for each level of the hierarchy; instances are (parent, child, rot, mirror, dx, dy) and must be free of cycles.
+    More than `depth` levels are an error.
     """
     spark = instances.sparkSession
     rot, mirror, dx, dy = G.compose([F.col(f"t.{c}") for c in ("rot", "mirror", "dx", "dy")], [F.col(f"i.{c}") for c in ("rot", "mirror", "dx", "dy")])
@@ -71,4 +72,6 @@ def flatten(instances: DataFrame, top: int, depth: int = 64) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionAll(level)
-    return out
+    if level.join(instances, level["cell"] == instances["parent"], "left_semi").isEmpty():
+        return out
+    raise ValueError(f"the hierarchy is deeper than {depth} levels")

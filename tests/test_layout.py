@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskloom import queries as Q
 from maskloom.functions import geometry as G
-from maskloom.operators import region, spatial, timing
+from maskloom.operators import kernels, place, region, spatial, timing
 from maskloom.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,29 @@ def test_worst_path_adds_up(spark):
     path = [r.node for r in timing.worst_path(e, a, end.node).orderBy("step").collect()]
     delay = {(r.src, r.dst): r.delay for r in e.collect()}
     assert sum(delay[p] for p in zip(path[:-1], path[1:], strict=True)) == end.value
+
+
+def test_placement_settles(spark):
+    rng = random.Random(4)
+    pins = spark.createDataFrame([(i % 7, i, rng.randint(0, 5000), rng.randint(0, 5000)) for i in range(60)], "net bigint, pin bigint, x bigint, y bigint")
+    out = place.global_placed(pins)
+    assert sorted(r.pin for r in out.collect()) == list(range(60))
+    wire = lambda df: place.half_perimeters(df).agg(F.sum("hpwl")).first()[0]
+    assert wire(out) < 7 * 4 < wire(pins)
+    with pytest.raises(RuntimeError):
+        place.global_placed(pins, 3)
+
+
+def test_deep_hierarchies_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1, 0, False, 1, 0) for i in range(4)], "parent bigint, child bigint, rot int, mirror boolean, dx bigint, dy bigint")
+    assert sorted(r.depth for r in graph.flatten(chain, 0, 4).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        graph.flatten(chain, 0, 3)
+
+
+def test_routes_get_all_rounds(spark):
+    for n, seed in ((18, 4), (18, 8)):  # these need more than 6 and more than 20 rounds
+        rng = random.Random(seed)
+        rows = [(0, i, *[rng.randrange(6) for _ in range(4)]) for i in range(n)]
+        got = kernels.region_routes(spark.createDataFrame(rows, "region bigint, net bigint, sx bigint, sy bigint, tx bigint, ty bigint"), 6, 4).first()
+        assert got.nets == n and got.overflow == 0
