@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Licence sentences in their published wording, by identifier. A * ends a sentence that versions or names may follow.
+# Licence sentences in their published wording, by identifier.
 SENTENCES = {
     "ApacheV2": "Licensed under the Apache License, Version 2.0",
     "ApacheV2Long": "Licensed under the Apache License, Version 2.0 (the \"License\")",
@@ -88,6 +88,8 @@ RULES = [
 STEMS = ("licen", "permission", "warrant", "redistribut", "rights reserved", "free software", "version 2 of")
 #: Sentences end at line feeds, or at signs that white space follows.
 SPLIT = "[.!?;]+[ \t\r\n]+|\n+"
+#: The signs alone: what is between them can hold known sentences that are wrapped over lines.
+ENDS = "[.!?;]+[ \t\r\n]+"
 
 
 def _parts(text: str) -> list[str]:
@@ -125,18 +127,35 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _unwrapped(sentence: Column, names: list[str]) -> Column:
+    """The lines of a text between two signs that end sentences, with each known sentence that is wrapped over lines put on one, normalised.
+
+    Signs at the ends and starts of lines, as of comments, don't matter; empty lines part sentences. Lines of texts without such a sentence stay as they are.
+    """
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    lines = F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
+    keys = F.array(*[F.lit(n) for n in sorted(names, key=len, reverse=True)])
+    anywhere = lambda k: F.concat(F.lit("(?<![^\n])"), F.replace(k, F.lit(" "), F.lit("[ \n]")), F.lit("(?![^\n])"))
+    held = lambda low: once(F.replace(low, F.lit("\n"), F.lit(" ")), lambda flat: F.filter(keys, lambda k: F.contains(flat, k)))
+    joined = lambda low: F.aggregate(held(low), low, lambda acc, k: F.regexp_replace(acc, anywhere(k), k))
+    plain = F.split(sentence, "\n+", -1)
+    found = once(lines, lambda low: once(joined(low), lambda j: F.when(j != low, F.split(j, "\n+", -1)).otherwise(plain)))
+    return F.when(F.contains(sentence, F.lit("\n")), found).otherwise(plain)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """(id, n_known, n_unknown, sentence_ids, licenses): licences of every whole text, with DataFrame functions only.
 
-    sentence_ids are the known sentences in order, joined by commas. Rules apply in their order; each one's sequences
+    sentence_ids are the known sentences in order, joined by commas, also those wrapped over lines. Rules apply in their order; each one's sequences
     are taken out of the identifiers, so that no later rule reads them again, and name its licence. licenses are
     the names found, in the rules' order and each once, joined by commas. n_unknown counts
     sentences with a stem that are not known. Null and empty texts have none of these; repeated rows repeat; an
     empty table stays empty; other columns are left out.
     """
-    table = F.create_map(*[F.lit(x) for pair in known(sentences).items() for x in pair])
+    names = known(sentences)
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
-    some = F.filter(F.split("t", SPLIT, -1), _has_stem)
+    some = F.filter(F.flatten(F.transform(F.split("t", ENDS, -1), lambda s: _unwrapped(s, list(names)))), _has_stem)
     df = df.select(id_col, F.when(_has_stem(F.col("t")), F.transform(some, lambda s: F.try_element_at(table, normalised(s)))).alias("found"))
     df = df.withColumn("names", F.coalesce(F.array_compact("found"), F.array().cast("array<string>")))
     steps = F.array(*[F.struct(F.lit(licence).alias("name"), F.lit(sequence_of(rule, sentences)).alias("seq")) for licence, rule in rules])

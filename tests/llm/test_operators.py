@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -445,6 +446,26 @@ def test_licences(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    s = licenses.SENTENCES
+    fill = lambda text, mark="", width=60: textwrap.fill(text, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)
+    mit = ["MIT License", "Copyright (c) 2020 A. Person", s["MitGrant"], s["MitNotice"] + ".", s["MitAsIs"] + ". IN NO EVENT SHALL"]
+    gpl = ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", s["GplHope"] + ". " + s["GplDetails"] + "."]
+    lgpl = ["This library is it. " + s["Gpl2Free"] + "; " + s["LgplFree"] + "; or so"]
+    bsd = [s["BsdRedist"], "1. " + s["BsdSource"] + ".", "2. " + s["BsdBinary"] + ".", "3. " + s["BsdEndorse"] + "."]
+    apache = [f"{s['ApacheV2Long']}; {s['ApacheUse']}. {s['ApacheCopy']}", "http://example.org/", f"{s['ApacheAsIs']}. {s['ApacheSee']}."]
+    texts, want = [], []
+    for parts, name in ((mit, "MIT"), (gpl, "GPL-2.0-or-later"), ([s["GplFree"] + "."], "GPL-3.0-or-later"), (lgpl, "LGPL"), (bsd, "BSD-3-Clause"), ([s["IscGrant"] + "."], "ISC"), (apache, "Apache-2.0")):
+        for mark in ("", " * ", "# ", "// "):
+            texts.append("int x;\n" + f"\n{mark}\n".join(fill(p, mark) for p in parts) + "\n\nint y;")
+            want.append(name)
+    texts += ["\n".join(["MIT License", "Copyright (c) A", *textwrap.wrap(s["MitGrant"], 50), "", *textwrap.wrap(s["MitNotice"] + ".", 50)]).replace("\n", "\r\n"), "Permission is hereby granted\n\n, free of charge"]
+    want += ["MIT-style", ""]
+    rows = licenses.scan(odd(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == want
+    assert [r.n_unknown for r in rows[:4]] == [0] * 4
+
+
 # --- pieces ---
 
 
