@@ -207,13 +207,9 @@ def candidates(reps: DataFrame, threshold: float, trees: int = TREES) -> DataFra
         common.drop_table(rows)
         small = shared.filter(F.col("size") <= LEAF).join(reps.select("id", "short"), "id")
         large = shared.filter(F.col("size") > LEAF)
-        if level == DEEPER:
-            # a node that does not part: chunks of LEAF sets by hash, each with the node's first set
-            large = large.join(reps.select("id", "short"), "id")
-            chunk = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / LEAF))
-            spread = large.filter("id <> lead").withColumn("node", F.xxhash64("node", chunk))
-            leads = large.filter("id = lead").withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / LEAF) - 1))).withColumn("node", F.xxhash64("node", F.col("c").cast("long"))).drop("c")
-            small = small.unionByName(spread.select(*small.columns)).unionByName(leads.select(*small.columns))
+        if level == DEEPER and not large.isEmpty():
+            part = _large_links(common.materialize(large.join(reps.select("id", "short"), "id"), "large"), links, threshold)
+            links = part if links is None else links.unionAll(part)
         part = common.materialize(_node_links(small, threshold).distinct(), "links")
         links = part if links is None else links.unionAll(part)
         if level == DEEPER or large.isEmpty():
@@ -222,6 +218,29 @@ def candidates(reps: DataFrame, threshold: float, trees: int = TREES) -> DataFra
     return links.distinct()
 
 
+def _large_links(large: DataFrame, links: DataFrame | None, threshold: float) -> DataFrame:
+    """(a, b): links of nodes that don't part, of rows (node, id, size, lead, short), in two steps of bounded tasks.
+
+    First chunks of about LEAF sets meet the node's first set and themselves. What is then connected with the first set needs no more links
+    among itself; the other sets, in chunks again, meet every chunk of the node, so that no pair that matters goes uncompared.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / LEAF)
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), chunks(n) - 1))
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("id", "node"), chunks("size")))
+    leads = large.filter("id = lead").withColumn("chunk", all_("size"))
+    own = large.filter("id <> lead").unionByName(leads).withColumn("node", F.xxhash64("node", "chunk"))
+    first = common.materialize(_node_links(own, threshold).distinct(), "links")
+    comp = common.materialize(common.components(first if links is None else links.unionAll(first), "large"), "large")
+    to, of = comp.select(F.col("node").alias("id"), "comp"), comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
+    free = large.join(to, "id", "left").join(of, "lead", "left").filter(F.coalesce("comp", "id") != F.coalesce("lead_comp", "lead"))
+    free = common.materialize(free.select(*large.columns), "free")
+    counts = free.groupBy("node").agg(F.count("*").alias("n"))
+    side = free.join(counts, "node").withColumn("p", F.pmod(F.xxhash64("node", "id"), chunks("n"))).withColumn("chunk", all_("size"))
+    rest = large.join(counts, "node").withColumn("p", all_("n"))
+    met = side.unionByName(rest).select(F.xxhash64("node", "p", "chunk").alias("node"), "id", "short").dropDuplicates(["node", "id"])
+    return first.unionAll(common.materialize(_node_links(met, threshold).distinct(), "links"))
+
+
 def _linked(parent, sets, sig, order, others, percent: int, least: int) -> None:
     """Connects each set of `order` with sets of `others` of other components, by exact comparison of full sets."""
     sizes = np.array([len(s) for s in sets])

@@ -293,6 +293,22 @@ def test_near_duplicates(spark, k, blocks, monkeypatch):
     assert neardup.clusters(df.limit(0), k).count() == 0
 
 
+def test_large_nodes_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    monkeypatch.setattr(neardup, "DEEPER", 0, raising=False)
+    rng = np.random.default_rng(2)  # here the tree's picks are among the shared coordinates, so that its nodes hold all sets
+    same = rng.permutation(neardup.COORDINATES) < 74  # of all sets, too few to make them candidates
+    shared = rng.integers(0, 1 << 32, neardup.COORDINATES, dtype=np.uint32)
+    rows = []
+    for i in range(60):
+        own = np.where(same, shared, rng.integers(0, 1 << 32, neardup.COORDINATES, dtype=np.uint32))
+        rows += [(2 * i + k, bytearray(own.tobytes()), bytearray(own.astype(np.uint8).tobytes())) for k in (0, 1)]
+    reps = spark.createDataFrame(rows, "id bigint, sig binary, short binary")
+    found = neardup.common.components(neardup.candidates(reps, 0.8, 1), "test")
+    comp = {r.node: r.comp for r in found.collect()}
+    assert all(comp.get(2 * i, -1) == comp.get(2 * i + 1, -2) for i in range(60))
+
+
 # --- mixing ---
 
 
