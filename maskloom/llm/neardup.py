@@ -3,8 +3,8 @@
 Each of several independent trees starts with all sets in its root. A node picks one or two of the
 signature's coordinates by a hash of its own name; a set goes to the child that its minwise token at a
 picked coordinate names. Two sets of similarity s share a child with probability s for each pick, so
-with 1.25 picks in the mean similar sets stay together while others part. Nodes that are still large
-branch on; small nodes compare their sets exhaustively by signature.
+with 1.25 picks in the mean similar sets stay together while others part. All nodes have the same depth, as each level loses
+similar pairs; the number of trees follows from it. Nodes compare their sets exhaustively by signature.
 
 What the trees find is the candidate graph. Its connected groups are then confirmed on the full
 shingle sets: inside a group every pair counts, except pairs that are already connected.
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from maskloom.llm import common
 
 COORDINATES = 128
-TREES = 14
-#: Sets of a node that are compared exhaustively, and levels that a large node may branch beyond the first ones.
-LEAF, DEEPER = 512, 4
+#: The chance to miss a pair of just the similarity asked for, which sets the number of trees.
+MISS = 1e-6
+#: Sets of a node that are compared at once; larger nodes are compared chunk by chunk.
+LEAF = 512
 #: Signature agreement from which a pair is a candidate: 5 standard deviations below the similarity asked for.
 MARGIN = 5.0
 #: Rows and bytes of a group that one task confirms; larger groups are confirmed block by block.
@@ -94,18 +95,6 @@ def _paths(reps: DataFrame, depth: int, trees: int) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "node bigint, id bigint")
 
 
-def _branched(rows: DataFrame) -> DataFrame:
-    """(node, id) one level below the nodes of rows (node, id, sig)."""
-
-    def run(batches):
-        for batch in batches:
-            node = common.column(batch, "node").to_numpy().view(np.uint64)
-            child, row = _children(node, _signatures(common.column(batch, "sig")), np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(common.column(batch, "id").to_numpy()[row])], ["node", "id"])
-
-    return rows.select("node", "id", "sig").mapInArrow(run, "node bigint, id bigint")
-
-
 def _groups_of(batches, key: str, bytes_col: str | None = None):
     """Whole runs of equal keys from sorted batches, some at a time: tables whose last run is complete."""
     held: list[pa.RecordBatch] = []
@@ -195,31 +184,44 @@ def _agreement(threshold: float) -> int:
     return math.floor(COORDINATES * threshold - MARGIN * math.sqrt(COORDINATES * threshold * (1 - threshold)))
 
 
-def candidates(reps: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
+def missed(threshold: float, depth: int, trees: int) -> float:
+    """The chance that no tree brings two sets of a similarity together at a depth, over all agreements that their signatures can have."""
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        s, apart = k / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - s + s * apart
+            apart = 0.75 * one + 0.25 * one**2
+        out += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * apart**trees
+    return out
+
+
+def trees_for(threshold: float, depth: int) -> int:
+    """The least number of trees that holds MISS at a depth."""
+    trees = 1
+    while missed(threshold, depth, trees) > MISS:
+        trees += 1
+    return trees
+
+
+def candidates(reps: DataFrame, threshold: float, trees: int | None = None) -> DataFrame:
     """(a, b): links of the candidate graph over sets (id, sig, short) that differ from each other."""
     count = reps.count()
-    depth = max(2, math.ceil(math.log(max(count, 1) / 16) / math.log(24))) if count > 16 else 1
-    links = None
-    rows = common.materialize(_paths(reps, depth, trees), "paths")
-    for level in range(DEEPER + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-        shared = common.materialize(rows.join(sizes, "node").select("node", "id", "size", "lead"), "nodes")
-        common.drop_table(rows)
-        small = shared.filter(F.col("size") <= LEAF).join(reps.select("id", "short"), "id")
-        large = shared.filter(F.col("size") > LEAF)
-        if level == DEEPER and not large.isEmpty():
-            part = _large_links(common.materialize(large.join(reps.select("id", "short"), "id"), "large"), links, threshold)
-            links = part if links is None else links.unionAll(part)
-        part = common.materialize(_node_links(small, threshold).distinct(), "links")
-        links = part if links is None else links.unionAll(part)
-        if level == DEEPER or large.isEmpty():
-            break
-        rows = common.materialize(_branched(large.join(reps.select("id", "sig"), "id")), "paths")
+    depth = max(2, math.ceil(math.log(max(count, 1) / 64) / math.log(24))) if count > 16 else 1
+    rows = common.materialize(_paths(reps, depth, trees or trees_for(threshold, depth)), "paths")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
+    shared = common.materialize(rows.join(sizes, "node").select("node", "id", "size", "lead"), "nodes")
+    common.drop_table(rows)
+    small = shared.filter(F.col("size") <= LEAF).join(reps.select("id", "short"), "id")
+    links = common.materialize(_node_links(small, threshold).distinct(), "links")
+    large = shared.filter(F.col("size") > LEAF)
+    if not large.isEmpty():
+        links = links.unionAll(_large_links(common.materialize(large.join(reps.select("id", "short"), "id"), "large"), links, threshold))
     return links.distinct()
 
 
-def _large_links(large: DataFrame, links: DataFrame | None, threshold: float) -> DataFrame:
-    """(a, b): links of nodes that don't part, of rows (node, id, size, lead, short), in two steps of bounded tasks.
+def _large_links(large: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of large nodes, from rows (node, id, size, lead, short), in two steps of bounded tasks.
 
     First chunks of about LEAF sets meet the node's first set and themselves. What is then connected with the first set needs no more links
     among itself; the other sets, in chunks again, meet every chunk of the node, so that no pair that matters goes uncompared.
@@ -230,7 +232,7 @@ def _large_links(large: DataFrame, links: DataFrame | None, threshold: float) ->
     leads = large.filter("id = lead").withColumn("chunk", all_("size"))
     own = large.filter("id <> lead").unionByName(leads).withColumn("node", F.xxhash64("node", "chunk"))
     first = common.materialize(_node_links(own, threshold).distinct(), "links")
-    comp = common.materialize(common.components(first if links is None else links.unionAll(first), "large"), "large")
+    comp = common.materialize(common.components(links.unionAll(first), "large"), "large")
     to, of = comp.select(F.col("node").alias("id"), "comp"), comp.select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
     free = large.join(to, "id", "left").join(of, "lead", "left").filter(F.coalesce("comp", "id") != F.coalesce("lead_comp", "lead"))
     free = common.materialize(free.select(*large.columns), "free")
@@ -296,7 +298,7 @@ def _confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("grp", "side", "id", "t").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
-def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): near-duplicate groups of all texts.
 
     Texts are linked whose sets of `words`-word shingles share `percent` hundredths or more of their

@@ -309,6 +309,27 @@ def test_large_nodes_compare_all_pairs(spark, monkeypatch):
     assert all(comp.get(2 * i, -1) == comp.get(2 * i + 1, -2) for i in range(60))
 
 
+def test_trees_hold_the_miss_rate_at_every_depth():
+    for depth in range(1, 7):
+        trees = neardup.trees_for(0.8, depth)
+        assert neardup.missed(0.8, depth, trees) <= 1e-6 < neardup.missed(0.8, depth, trees - 1)
+    assert neardup.missed(0.8, 3, 14) > 1e-6
+    rng = np.random.default_rng(5)  # the formula against sets in trees, at a depth and number of trees that lose some
+    same = rng.random((4000, neardup.COORDINATES)) < 0.8
+    a = rng.integers(0, 1 << 32, same.shape, dtype=np.uint32)
+    b = np.where(same, a, a ^ np.uint32(1))
+    met = np.zeros(4000, bool)
+    for tree in range(2):
+        ends = []
+        for sig in (a, b):
+            node, row = common.mix(np.arange(4000, dtype=np.uint64) * np.uint64(2) + np.uint64(tree)), np.arange(4000)
+            for _ in range(4):
+                node, row = neardup._children(node, sig, row)
+            ends.append((node, row))
+        met[ends[0][1][np.isin(ends[0][0], ends[1][0])]] = True
+    assert abs((~met).mean() - neardup.missed(0.8, 4, 2)) < 0.03
+
+
 # --- mixing ---
 
 
