@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,6 @@ UNKNOWN = "und"
 #: Bounds of the learning sample: rows for each language, bytes of a text in it, and kernel landmarks for each language.
 SAMPLE, SAMPLE_BYTES, LANDMARKS = 300, 20_000, 32
 RIDGE = 1e-2
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_codes(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +98,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter (Unicode's categories L*): numbers such as a half or a Roman four are none."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that learning never sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -141,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 for a in range(0, large.num_rows, 256):
                     part = large.slice(a, 256)
                     texts = common.column(part, "__t")
-                    known = np.array([bool(_LETTER.search(t.as_py() or "")) for t in texts]) & (model is not None)
+                    known = np.array([has_letter(t.as_py() or "") for t in texts]) & (model is not None)
                     names, scores = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                     if known.any():
                         raw, off = common.utf8(texts)
