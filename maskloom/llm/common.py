@@ -24,9 +24,12 @@ _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a single process makes one of its own; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="maskloom-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -34,20 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
+
+    The table goes when the driver ends, or before by drop_table().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/maskloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_dir(spark)}/maskloom/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing needs any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing needs any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -204,15 +213,16 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
 
     Alternating large-star and small-star rounds. Every round is two aggregations and two joins on
     the node, and ends in a table in the shared folder; only a count and a checksum come to the driver.
+    A node of very many links meets them in a join whose sides are dealt for it alone, so that Spark can split it.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e, before = materialize(e, name), None
     for _ in range(most):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition(partitions(edges.sparkSession))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).repartition(partitions(edges.sparkSession))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         after = materialize(small.filter("a <> b").distinct(), name)
         sums = after.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
