@@ -164,11 +164,30 @@ def test_topk_with_ties_and_odd_rows(spark):
                 best = sorted((-int(v @ w), j) for j, w in good if j != i)[:5]
                 expect |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
         assert got == expect
+    mixed = df.unionByName(spark.createDataFrame([(i, [1.0] * (1 + i % 3)) for i in range(1000, 1050)], "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1)))
+    got = topk.search(mixed, mixed.filter("vec_id in (0, 1000)"), 5).collect()
+    assert sorted((r.vec_id, r.score) for r in got if r.query_id == 1000) == [(i, 1 << 17) for i in range(1003, 1018, 3)]
     few = df.filter("vec_id in (0, 1, 50)")
     assert topk.search(few, few.filter("vec_id % 50 = 0"), 5).count() == 4
     assert topk.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_topk_cutoffs_save_most_entries():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    q, mine, cuts = x[:80], np.arange(4000)[None] == np.arange(80)[:, None], topk.slices_of(64, 2)
+    top, low = topk.gather(q, x, mine, 5, cuts)
+    bound = top[:, 4]
+    found = topk.collect(q, x, mine, low + ((bound - low.sum(1)) / 2)[:, None], cuts)
+    assert len(found[0]) < 0.1 * mine.size and len(set(zip(found[0], found[1], strict=True))) == len(found[0])
+    r, c, s = topk.resolve(q, x, found, bound, cuts)
+    score = np.where(mine, -np.inf, q @ x.T)
+    assert (s == score[r, c]).all() and len(r) < 0.2 * len(found[0])
+    for i in range(80):
+        assert set(np.argsort(-score[i], kind="stable")[:5]) <= set(c[r == i])
+
+
 # --- repeated strings ---
 
 
