@@ -135,7 +135,7 @@ def _flat(parent: np.ndarray) -> np.ndarray:
 def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a spanning forest of the pairs in each node of rows (node, id, short) whose signatures agree enough.
 
-    Low bytes agree wherever signatures do, so that comparing them loses no pair; false ones go when links are confirmed.
+    Each tree's root is its smallest id, so that a family that many nodes hold gives mostly the same links in all of them. Low bytes agree wherever signatures do, so that comparing them loses no pair; false ones go when links are confirmed.
     """
     least = _agreement(threshold)
 
@@ -150,8 +150,8 @@ def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
             pairs = edges[:-1][sizes == 2]  # most nodes: both sets at once
             if len(pairs):
                 near = ((sig[pairs] == sig[pairs + 1]).sum(1) >= least) & (ids[pairs] != ids[pairs + 1])
-                out_a.append(ids[pairs[near]])
-                out_b.append(ids[pairs[near] + 1])
+                out_a.append(ids[pairs[near] + 1])
+                out_b.append(ids[pairs[near]])
             for a, n in zip(edges[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 own, parent = sig[a : a + n], np.arange(n)
                 left = np.ones(n, bool)
@@ -176,7 +176,7 @@ def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     n = common.partitions(rows.sparkSession)
-    return rows.select("node", "id", "short").repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "id", "short").repartition(n, "node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint")
 
 
 def _agreement(threshold: float) -> int:
@@ -214,14 +214,18 @@ def candidates(reps: DataFrame, threshold: float, trees: int | None = None) -> D
     common.drop_table(rows)
     small = shared.filter(F.col("size") <= LEAF).join(reps.select("id", "short"), "id")
     links = common.materialize(_node_links(small, threshold).distinct(), "links")
-    large = shared.filter(F.col("size") > LEAF)
+    large, scratch = shared.filter(F.col("size") > LEAF), [shared, links]
     if not large.isEmpty():
-        links = links.unionAll(_large_links(common.materialize(large.join(reps.select("id", "short"), "id"), "large"), links, threshold))
-    return links.distinct()
+        large = common.materialize(large.join(reps.select("id", "short"), "id"), "large")
+        more, used = _large_links(large, links, threshold)
+        links, scratch = links.unionAll(more), [*scratch, large, *used]
+    out = common.materialize(links.distinct(), "candidates")
+    common.drop_table(*scratch)
+    return out
 
 
-def _large_links(large: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links of large nodes, from rows (node, id, size, lead, short), in two steps of bounded tasks.
+def _large_links(large: DataFrame, links: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links of large nodes, from rows (node, id, size, lead, short), in two steps of bounded tasks; and the scratch tables under them.
 
     First chunks of about LEAF sets meet the node's first set and themselves. What is then connected with the first set needs no more links
     among itself; the other sets, in chunks again, meet every chunk of the node, so that no pair that matters goes uncompared.
@@ -240,13 +244,13 @@ def _large_links(large: DataFrame, links: DataFrame, threshold: float) -> DataFr
     side = free.join(counts, "node").withColumn("p", F.pmod(F.xxhash64("node", "id"), chunks("n"))).withColumn("chunk", all_("size"))
     rest = large.join(counts, "node").withColumn("p", all_("n"))
     met = side.unionByName(rest).select(F.xxhash64("node", "p", "chunk").alias("node"), "id", "short").dropDuplicates(["node", "id"])
-    return first.unionAll(common.materialize(_node_links(met, threshold).distinct(), "links"))
+    second = common.materialize(_node_links(met, threshold).distinct(), "links")
+    return first.unionAll(second), [first, comp, free, second]
 
 
 def _linked(parent, sets, sig, order, others, percent: int, least: int) -> None:
-    """Connects each set of `order` with sets of `others` of other components, by exact comparison of full sets."""
+    """Connects each set of `order` with sets of `others` of other components whose signatures agree enough, by exact comparison of full sets."""
     sizes = np.array([len(s) for s in sets])
-    exact = len(parent) <= 64
     for i in order:
         roots = _flat(parent)
         rest = others[(roots[others] != roots[i]) & (others != i)]
@@ -254,8 +258,7 @@ def _linked(parent, sets, sig, order, others, percent: int, least: int) -> None:
         if not len(rest):
             continue
         agree = (sig[rest] == sig[i]).sum(1)
-        if not exact:
-            rest, agree = rest[agree >= least], agree[agree >= least]
+        rest, agree = rest[agree >= least], agree[agree >= least]
         for j in rest[np.argsort(-agree, kind="stable")]:
             a, b = _find(parent, i), _find(parent, j)
             if a != b:
@@ -310,8 +313,9 @@ def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | No
     info = common.materialize(sets_of(docs, words, id_col, text_col), "sets")
     named = info.filter("n > 0 and id is not null")
     reps = common.materialize(named.groupBy("print").agg(F.min("id").alias("id"), F.min_by(F.struct("sig", "short"), "id").alias("s")).select("print", "id", "s.*"), "reps")
-    links = common.materialize(candidates(reps, percent / 100, trees), "candidates")
-    near = common.materialize(common.components(links, "groups"), "groups").select(F.col("node").alias("id"), F.col("comp").alias("grp"))
+    links = candidates(reps, percent / 100, trees)
+    groups = common.materialize(common.components(links, "groups"), "groups")
+    near = groups.select(F.col("node").alias("id"), F.col("comp").alias("grp"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t"))
     member = near.join(texts, "id").dropDuplicates(["id"])
     member = common.materialize(member.withColumn("bytes", F.octet_length("t")), "members")
@@ -319,16 +323,19 @@ def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | No
     large = sizes.filter((F.col("size") > GROUP_ROWS) | (F.col("bytes") > GROUP_BYTES))
     rows = member.join(large.select("grp"), "grp", "left_anti").select("grp", F.lit(0).alias("side"), "id", "t")
     exact = common.materialize(_confirmed(rows, words, percent), "exact")
+    scratch = [links, groups, member, sizes, exact]
     if not large.isEmpty():
-        exact = exact.unionAll(_in_blocks(member, large, words, percent))
+        more, used = _in_blocks(member, large, words, percent)
+        exact, scratch = exact.unionAll(more), [*scratch, *used]
     joined = common.components(exact, "exact")
+    common.drop_table(*scratch)
     final = reps.select("print", "id").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("print", F.coalesce("comp", "id").alias("comp"))
     out = info.select(F.col("id"), "n", "print").join(final, "print", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _in_blocks(member: DataFrame, large: DataFrame, words: int, percent: int) -> DataFrame:
-    """Exact links of groups too large for one task, in two steps of bounded tasks.
+def _in_blocks(member: DataFrame, large: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Exact links of groups too large for one task, in two steps of bounded tasks; and the scratch tables under them.
 
     First every block of a group is confirmed by itself together with the group's first set, so that what
     is near that set is connected throughout. Then the blocks meet in pairs, but only sets that are not connected
@@ -336,7 +343,7 @@ def _in_blocks(member: DataFrame, large: DataFrame, words: int, percent: int) ->
     """
     blocks = large.select("grp", F.greatest(F.ceil(F.col("size") / (GROUP_ROWS // 2)), F.ceil(F.col("bytes") / (GROUP_BYTES // 2))).cast("int").alias("blocks"))
     rows = member.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = common.materialize(rows, "blocks")
+    rows = dealt = common.materialize(rows, "blocks")
     lead = rows.filter("id = grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "t")
     own = rows.filter("id <> grp").select("grp", "block", "id", "t").unionByName(lead)
     first = common.materialize(_confirmed(own.select(F.xxhash64("grp", "block").alias("grp"), F.lit(0).alias("side"), "id", "t"), words, percent), "exact")
@@ -347,11 +354,12 @@ def _in_blocks(member: DataFrame, large: DataFrame, words: int, percent: int) ->
     used = rows.filter("free").select("grp", F.col("block").alias("from")).distinct()
     rest = rows.join(used, "grp").select(F.xxhash64("grp", "from", "block").alias("k"), F.lit(2).alias("side"), "id", "t")
     met = free.unionByName(rest).withColumnRenamed("k", "grp")
-    return first.unionAll(common.materialize(_confirmed(met, words, percent), "exact"))
+    second = common.materialize(_confirmed(met, words, percent), "exact")
+    return first.unionAll(second), [dealt, first, comp, rows, second]
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with one row of each near-duplicate group: that of the smallest id. All columns stay; null ids stay."""
     groups = clusters(docs, words, percent, id_col=id_col, text_col=text_col)
-    gone = groups.filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = groups.filter("not kept").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
