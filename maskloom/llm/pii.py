@@ -26,6 +26,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]")
+_SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -138,22 +139,35 @@ class Tagger:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["out"] + self.p["out_b"], (x, both, tape_f, tape_b)
 
-    def viterbi(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best label paths of the windows, and their emissions."""
-        em, _ = self.emissions(ids)
-        n, t, _ = em.shape
+    def viterbi(self, ems: list[np.ndarray]) -> list[np.ndarray]:
+        """The best label path of each sequence of emissions (places by labels); sequences can differ in length."""
         trans = self.p["trans"] + self.mask
-        best, back = em[:, 0] + self.p["first"] + self.first_mask, np.empty((n, t, LABELS), np.int8)
-        for i in range(1, t):
-            all_ = best[:, :, None] + trans
-            back[:, i] = all_.argmax(1)
-            best = np.take_along_axis(all_, back[:, i][:, None].astype(np.int64), 1)[:, 0] + em[:, i]
-        path = np.empty((n, t), np.int64)
-        path[:, -1] = best.argmax(1)
-        rows = np.arange(n)
-        for i in range(t - 1, 0, -1):
-            path[:, i - 1] = back[rows, i, path[:, i]]
-        return path, em
+        order = sorted(range(len(ems)), key=lambda i: -len(ems[i]))
+        size = np.array([len(ems[i]) for i in order])
+        flat = np.concatenate([ems[i] for i in order])
+        start = np.cumsum(size) - size
+        back = np.zeros((len(flat), LABELS), np.int8)
+        best = flat[start] + self.p["first"] + self.first_mask
+        last = np.empty(len(order), np.int64)
+        for t in range(1, int(size[0]) + 1):
+            n = int(np.searchsorted(-size, -t))  # sequences that go on; the longest come first
+            last[n : len(best)] = best[n:].argmax(1)
+            if not n:
+                break
+            all_ = best[:n, :, None] + trans
+            at = start[:n] + t
+            back[at] = all_.argmax(1)
+            best = all_.max(1) + flat[at]
+        path = np.empty(len(flat), np.int64)
+        now = last.copy()
+        for t in range(int(size[0]) - 1, -1, -1):
+            n = int(np.searchsorted(-size, -t))
+            path[start[:n] + t] = now[:n]
+            now[:n] = back[start[:n] + t, now[:n]]
+        out: list = [None] * len(ems)
+        for i, a, n in zip(order, start, size, strict=True):
+            out[i] = path[a : a + n]
+        return out
 
     def step(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the labels, and its gradients."""
@@ -322,20 +336,23 @@ def plausible(value: str, kind: int) -> bool:
 
 
 def windows_of(text: str, base: list[Span]) -> list[int]:
-    """Starts of the windows that can hold an accepted span: those with a trigger outside the base spans.
-
-    Windows start at multiples of STRIDE, so any span of at most WINDOW - STRIDE characters lies whole in one.
-    """
+    """Starts of the windows that hold a trigger outside the base spans, or a part of the word around one. Windows start at multiples of STRIDE."""
     out, i, last = [], 0, max(0, len(text) - WINDOW)
     ends = -(-last // STRIDE)
-    seen = -1
+    seen = word_end = -1
     for m in _TRIGGER.finditer(text):
         at = m.start()
         while i < len(base) and base[i][1] <= at:
             i += 1
         if i < len(base) and base[i][0] <= at:
             continue
-        lo, hi = max(seen + 1, -(-(at - WINDOW + 1) // STRIDE)), min(at // STRIDE, ends)
+        if at >= word_end:  # the word around the trigger
+            word = at
+            while word > max(0, word_end) and not text[word - 1].isspace():
+                word -= 1
+            after = _SPACE.search(text, at)
+            word_end = after.start() if after else len(text)
+        lo, hi = max(seen + 1, -(-(min(word, at) - WINDOW + 1) // STRIDE)), min((word_end - 1) // STRIDE, ends)
         out += range(max(0, lo), hi + 1)
         seen = max(seen, hi)
     return [w * STRIDE for w in out]
@@ -373,35 +390,74 @@ def reconcile(found: list[tuple[int, int, int, float]], base: list[Span]) -> lis
     return out[::-1]
 
 
-def find(texts: list[str], model: Tagger, batch: int = 512) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the base spans and all spans, both by start and then kind."""
+def runs_of(starts: list[int], length: int) -> list[tuple[int, int, list[int]]]:
+    """(from, to, windows): stretches of a text that overlapping windows cover without a gap."""
+    out: list[tuple[int, int, list[int]]] = []
+    for w in starts:
+        if out and w < out[-1][1]:
+            out[-1] = (out[-1][0], min(w + WINDOW, length), [*out[-1][2], w])
+        else:
+            out.append((w, min(w + WINDOW, length), [w]))
+    return out
+
+
+#: The weight of a place's scores in a window: what stands in the middle knows most of what is around it.
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+
+
+def decoded(stretches: list[tuple[str, int, int, list[int]]], model: Tagger, batch: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(path, scores) of each stretch (text, from, to, windows): windows' scores are averaged place by place, and one path is decoded over the whole stretch."""
+    ems = [np.zeros((b - a, LABELS), np.float32) for _, a, b, _ in stretches]
+    mass = [np.zeros((b - a, 1), np.float32) for _, a, b, _ in stretches]
+    where = [(i, w) for i, x in enumerate(stretches) for w in x[3]]
+    for at in range(0, len(where), batch):
+        part = where[at : at + batch]
+        em, _ = model.emissions(np.stack([_filled(char_ids(stretches[i][0][w : w + WINDOW])) for i, w in part]))
+        for r, (i, w) in enumerate(part):
+            _, a, b, _ = stretches[i]
+            n = min(w + WINDOW, b) - w
+            ems[i][w - a : w - a + n] += em[r, :n] * _WEIGHT[:n, None]
+            mass[i][w - a : w - a + n] += _WEIGHT[:n, None]
+    ems = [e / m for e, m in zip(ems, mass, strict=True)]
+    return list(zip(model.viterbi(ems), ems, strict=True)) if ems else []
+
+
+def find(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the base spans and all spans, both by start and then kind.
+
+    A span may be of any length. Where a path's span touches the end of its stretch, and the text goes on, windows are
+    added there and the stretch is decoded again, so that neither length nor place decides what is found.
+    """
     bases = [base_spans(t) for t in texts]
-    where = [(i, w) for i, t in enumerate(texts) for w in windows_of(t, bases[i])]
     found: list[list] = [[] for _ in texts]
-    for a in range(0, len(where), batch):
-        part = where[a : a + batch]
-        ids = np.stack([_filled(char_ids(texts[i][w : w + WINDOW])) for i, w in part])
-        paths, em = model.viterbi(ids)
-        for r in np.flatnonzero((paths > 0).any(1)):
-            i, w = part[r]
-            text, path = texts[i], paths[r]
-            n = min(WINDOW, len(text) - w)
-            t = 0
-            while t < n:
-                if path[t] % 2 == 0:
-                    t += 1
-                    continue
+    todo = {i: w for i, t in enumerate(texts) if (w := windows_of(t, bases[i]))}
+    step = 1
+    while todo:
+        stretches = [(i, a, b, ws) for i, w in todo.items() for a, b, ws in runs_of(w, len(texts[i]))]
+        more: dict[int, set[int]] = {}
+        for i in todo:
+            found[i] = []
+        for (i, a, b, ws), (path, em) in zip(stretches, decoded([(texts[i], a, b, ws) for i, a, b, ws in stretches], model), strict=True):
+            text = texts[i]
+            if path[0] > 0 and a > 0:
+                more.setdefault(i, set()).update(range(max(0, ws[0] - step * STRIDE), ws[0], STRIDE))
+            if path[-1] > 0 and b < len(text):
+                more.setdefault(i, set()).update(range(ws[-1] + STRIDE, min(ws[-1] + step * STRIDE, -(-max(0, len(text) - WINDOW) // STRIDE) * STRIDE) + 1, STRIDE))
+            starts = np.flatnonzero(path % 2 == 1)
+            for t in starts:
                 u = t + 1
-                while u < n and path[u] == path[t] + 1:
+                while u < len(path) and path[u] == path[t] + 1:
                     u += 1
-                s, e, k = w + t, w + u, int(path[t] // 2)
-                cut = (t == 0 and w > 0) or (u == n and e < len(text))
-                beside = (s > 0 and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
-                if not cut and not beside and plausible(text[s:e], k):
-                    score = float((em[r, np.arange(t, u), path[t:u]] - em[r, t:u, 0]).sum())
-                    if score > 0:
-                        found[i].append((s, e, k, score))
-                t = u
+                s, e = a + int(t), a + int(u)
+                score = float((em[np.arange(t, u), path[t:u]] - em[t:u, 0]).sum())
+                if score <= 0 or (s > 0 and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum()):
+                    continue
+                # the kind that the scores of these places favour, of those that the value can be
+                likely = sorted(range(len(KINDS)), key=lambda k: (2 * k + 1 != path[t], -float(em[t, 1 + 2 * k] + em[t + 1 : u, 2 + 2 * k].sum())))
+                k = next((k for k in likely if plausible(text[s:e], k)), None)
+                if k is not None:
+                    found[i].append((s, e, k, score))
+        todo, step = {i: sorted({*todo[i], *new}) for i, new in more.items()}, 2 * step
     out = []
     for i, base in enumerate(bases):
         added = reconcile(found[i], base) if found[i] else []
