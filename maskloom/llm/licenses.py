@@ -48,6 +48,43 @@ SENTENCES = {
     "SpdxMit": "SPDX-License-Identifier: MIT",
     "SpdxGpl3": "SPDX-License-Identifier: GPL-3.0-only",
     "AllRights": "All rights reserved",
+    "Gpl2OnlyTerms": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "Gpl2Only": "version 2 of the License",
+    "Gpl3OnlyFree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "AgplFree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "AgplDetails": "See the GNU Affero General Public License for more details",
+    "LibFree": "This library is free software",
+    "Lgpl21Later": "either version 2.1 of the License, or (at your option) any later version",
+    "Lgpl3Free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LgplHope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "LgplDetails": "See the GNU Lesser General Public License for more details",
+    "Epl1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    "Epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BoostShort": "Distributed under the Boost Software License, Version 1.0",
+    "BoostGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "ArtisticTerms": "you can redistribute it and/or modify it under the terms of the Artistic License 2.0",
+    "PerlTerms": "you can redistribute it and/or modify it under the same terms as Perl itself",
+    "BsdAdvert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "SpdxGpl3Later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "SpdxGpl2": "SPDX-License-Identifier: GPL-2.0-only",
+    "SpdxGpl2Later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "SpdxLgpl21": "SPDX-License-Identifier: LGPL-2.1-only",
+    "SpdxLgpl21Later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "SpdxLgpl3Later": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "SpdxAgpl3": "SPDX-License-Identifier: AGPL-3.0-only",
+    "SpdxAgpl3Later": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "SpdxBsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "SpdxBsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "SpdxIsc": "SPDX-License-Identifier: ISC",
+    "SpdxMpl2": "SPDX-License-Identifier: MPL-2.0",
+    "SpdxEpl2": "SPDX-License-Identifier: EPL-2.0",
+    "SpdxUnlicense": "SPDX-License-Identifier: Unlicense",
+    "SpdxZlib": "SPDX-License-Identifier: Zlib",
+    "SpdxBoost": "SPDX-License-Identifier: BSL-1.0",
+    "SpdxCc0": "SPDX-License-Identifier: CC0-1.0",
 }
 # Rules in order, the licence and the sequence of identifiers that shows it. Longer sequences come first.
 RULES = [
@@ -61,7 +98,28 @@ RULES = [
     ("GPL-3.0-or-later", "GplFree"),
     ("GPL-2.0-or-later", "Gpl2Free Gpl2Terms Gpl2Later GplHope GplDetails"),
     ("GPL-2.0-or-later", "Gpl2Free Gpl2Terms Gpl2Later"),
+    ("GPL-2.0-only", "Gpl2Free Gpl2OnlyTerms"),
+    ("GPL-2.0-only", "Gpl2Free Gpl2Terms Gpl2Only"),
+    ("GPL-3.0-only", "Gpl3OnlyFree"),
+    ("AGPL-3.0-or-later", "AgplFree GplHope AgplDetails"),
+    ("AGPL-3.0-or-later", "AgplFree"),
+    ("LGPL-3.0-or-later", "Lgpl3Free"),
+    ("LGPL-2.1-or-later", "LibFree LgplFree Lgpl21Later"),
+    ("LGPL-2.0-or-later", "LibFree LgplFree Gpl2Later"),
     ("LGPL", "Gpl2Free LgplFree"),
+    ("LGPL", "LibFree LgplFree"),
+    ("Artistic-2.0", "Gpl2Free ArtisticTerms"),
+    ("Artistic-2.0", "LibFree ArtisticTerms"),
+    ("Perl", "Gpl2Free PerlTerms"),
+    ("Perl", "LibFree PerlTerms"),
+    ("EPL-1.0", "Epl1"),
+    ("EPL-2.0", "Epl2"),
+    ("Unlicense", "Unlicense"),
+    ("Zlib", "ZlibAsIs ZlibGrant"),
+    ("BSL-1.0", "BoostGrant"),
+    ("BSL-1.0", "BoostShort"),
+    ("BSD-4-Clause", "BsdRedist BsdSource BsdBinary BsdAdvert BsdEndorse"),
+    ("BSD-4-Clause", "BsdRedist BsdSource BsdBinary BsdAdvert"),
     ("BSD-3-Clause", "BsdRedist BsdSource BsdBinary BsdEndorse"),
     ("BSD-2-Clause", "BsdRedist BsdSource BsdBinary"),
     ("ISC", "IscGrant"),
@@ -82,10 +140,27 @@ RULES = [
     ("CC-BY-4.0", "CcBy4"),
     ("CC-BY-4.0", "CcByLong"),
     ("CC0-1.0", "Cc0"),
+    ("GPL-3.0-or-later", "SpdxGpl3Later"),
+    ("GPL-2.0-only", "SpdxGpl2"),
+    ("GPL-2.0-or-later", "SpdxGpl2Later"),
+    ("LGPL-2.1-only", "SpdxLgpl21"),
+    ("LGPL-2.1-or-later", "SpdxLgpl21Later"),
+    ("LGPL-3.0-or-later", "SpdxLgpl3Later"),
+    ("AGPL-3.0-only", "SpdxAgpl3"),
+    ("AGPL-3.0-or-later", "SpdxAgpl3Later"),
+    ("BSD-2-Clause", "SpdxBsd2"),
+    ("BSD-3-Clause", "SpdxBsd3"),
+    ("ISC", "SpdxIsc"),
+    ("MPL-2.0", "SpdxMpl2"),
+    ("EPL-2.0", "SpdxEpl2"),
+    ("Unlicense", "SpdxUnlicense"),
+    ("Zlib", "SpdxZlib"),
+    ("BSL-1.0", "SpdxBoost"),
+    ("CC0-1.0", "SpdxCc0"),
     ("Proprietary", "AllRights"),
 ]
 #: Every known sentence has one of these, so texts and sentences without them need no closer look.
-STEMS = ("licen", "permission", "warrant", "redistribut", "rights reserved", "free software", "version 2 of")
+STEMS = ("licen", "permission", "warrant", "redistribut", "rights reserved", "free software", "version 2 of", "public domain", "advertising materials", "same terms as perl")
 #: Sentences end at line feeds, or at signs that white space follows.
 SPLIT = "[.!?;]+[ \t\r\n]+|\n+"
 #: The signs alone: what is between them can hold known sentences that are wrapped over lines.
