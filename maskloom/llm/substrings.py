@@ -10,12 +10,15 @@ in the same place, so strings are compared in fragments that are aligned on the
 2. Anchors whose hash occurs with several surroundings give the first of each as a fragment.
 3. The fragments of one anchor are a small collection of documents. Column by column from the right, one
    symbol of each is inserted: the order of the suffixes (the collection's Burrows-Wheeler order) and the
-   common prefixes of neighbours are updated from those of the column before. Where common prefixes
-   reach `span`, all strings but the earliest are repeated. Columns pass through a sequential file.
+   common prefixes of neighbours are updated from those of the column before, in files that are read and
+   written in sequence. Where common prefixes reach `span`, all strings but the earliest are repeated.
+4. An anchor with very many fragments is parted: its fragments go to collections of longer anchors.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
 import tempfile
 
 import numpy as np
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 from maskloom.llm import common
 
 SPAN, GRAM = 100, 24
-#: Fragments of one anchor up to which its columns are built in one task; beyond, its strings are dealt by their own hashes.
+#: Fragments of one anchor up to which they are one collection; more are parted by longer anchors.
 FRAGMENTS = 100_000
-#: Fragments whose columns are built at once.
-CHUNK = 1 << 16
+#: Rows of the sequential files that are in memory at once, and repeated strings that are held until they go out.
+BLOCK, FOUND = 1 << 16, 1 << 20
 
 
 def _slide(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -190,115 +193,220 @@ def _cut(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "h bigint, doc bigint, at bigint, left int, frag binary")
 
 
-def column_order(columns: np.ndarray, group: np.ndarray, span: int):
-    """For each column from the right, the suffix order of all rows in their groups and which strings of `span` symbols are not the first.
+class Columns:
+    """The symbols of a collection's fragments, column by column, in an unnamed file that belongs to the task and goes with it.
 
-    columns: symbols by column and row, 256 where a row has none, which equals nothing. Rows are in order of precedence
-    in their groups. Yields (column, rows whose string starting there occurs in an earlier row of the group).
+    Fragments are aligned; a place where one has no symbol holds 256, which equals nothing.
     """
-    width, n = columns.shape
-    order, common_prefix = np.arange(n), np.zeros(n, np.int32)
-    small = group.astype(np.uint16) if group[-1] < 1 << 16 else group
-    for j in range(width - 1, -1, -1):
-        symbol = np.asarray(columns[j])[order]
+
+    def __init__(self, file, width: int):
+        self.file, self.width, self.blocks, self.rows = file, width, [], 0
+
+    def add(self, raw: np.ndarray, off: np.ndarray, first: np.ndarray) -> None:
+        """Appends fragments (bytes, offsets), each from its first column on."""
+        for a in range(0, len(first), BLOCK):
+            n = min(BLOCK, len(first) - a)
+            length = np.diff(off[a : a + n + 1])
+            row = np.repeat(np.arange(n), length)
+            place = np.arange(off[a], off[a + n]) - np.repeat(off[a : a + n] - first[a : a + n], length)
+            whole = np.full((self.width, n), 256, np.uint16)
+            whole[place, row] = raw[off[a] : off[a + n]]
+            self.blocks.append((self.file.seek(0, 2), n))
+            self.file.write(whole.tobytes())
+            self.rows += n
+
+    def column(self, j: int) -> np.ndarray:
+        parts = [np.frombuffer(os.pread(self.file.fileno(), 2 * n, at + 2 * n * j), np.uint16) for at, n in self.blocks]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+
+
+def _round(column: np.ndarray, old, new, span: int) -> None:
+    """One symbol of every fragment goes in front of its suffix: from the files of order and common prefixes (old) those of the next column (new).
+
+    The old order is read in sequence; each symbol has a stretch of the new files that is written in sequence. The common
+    prefix with the neighbour above is one more than the least since the symbol was there last.
+    """
+    at = np.cumsum(np.bincount(column, minlength=257)) - np.bincount(column, minlength=257)
+    since = np.full(257, -1, np.int64)  # least common prefix since each symbol's last place; -1 before its first
+    for a in range(0, len(column), BLOCK):
+        n = min(BLOCK, len(column) - a)
+        order = np.frombuffer(os.pread(old[0].fileno(), 4 * n, 4 * a), np.int32)
+        low = np.frombuffer(os.pread(old[1].fileno(), n, a), np.uint8).astype(np.int64)
+        symbol = column[order]
         moved = np.argsort(symbol, kind="stable")
-        moved = moved[np.argsort(small[order][moved], kind="stable")]
-        new = order[moved]
-        s, g = symbol[moved], small[new]
-        same = np.zeros(n, bool)
-        same[1:] = (s[1:] == s[:-1]) & (g[1:] == g[:-1]) & (s[1:] != 256)
-        at = np.flatnonzero(same)
-        p, q = moved[at - 1], moved[at]
-        low = common_prefix[q].copy()
+        s = symbol[moved]
+        lead = np.ones(n, bool)
+        lead[1:] = s[1:] != s[:-1]
+        made = np.empty(n, np.int64)
+        heads = np.flatnonzero(lead)
+        made[heads] = np.minimum(np.minimum.accumulate(low)[moved[heads]], since[s[heads]])
+        rest = np.flatnonzero(~lead)
+        p, q = moved[rest - 1], moved[rest]
+        made[rest] = low[q]
         apart = np.flatnonzero(q > p + 1)
         if len(apart):
-            # least common prefix between places that other symbols part
             ends = np.stack([p[apart] + 1, q[apart] + 1], 1).ravel()
-            low[apart] = np.minimum.reduceat(np.append(common_prefix, 0), ends)[::2]
-        common_prefix = np.zeros(n, np.int32)
-        common_prefix[at] = np.minimum(low + 1, span)
-        order = new
-        if width - j >= span:
-            runs = np.flatnonzero(common_prefix < span)
-            if len(runs) < n:
-                first = np.minimum.reduceat(order, runs)
-                yield j, order[order > np.repeat(first, np.diff(np.append(runs, n)))]
-
-
-def _repeated(ids, at, left, group, raw, off, span: int, gram: int):
-    """(doc, start, end) of the repeated strings of fragments, whose rows are sorted by group and then precedence."""
-    before, width = span - gram, 2 * span - gram
-    n = len(ids)
-    length = np.diff(off)
-    with tempfile.TemporaryFile() as file:
-        columns = np.memmap(file, np.uint16, "w+", shape=(width, n))
-        row = np.repeat(np.arange(n), length)
-        place = np.arange(len(raw)) - np.repeat(off[:-1], length) + np.repeat(before - left, length)
-        whole = np.full((n, width), 256, np.uint16)
-        whole[row, place] = raw
-        columns[:] = whole.T
-        del whole
-        docs, starts = [], []
-        for j, rows in column_order(columns, group, span):
-            docs.append(rows)
-            starts.append(np.full(len(rows), j))
-        del columns
-    if not docs:
-        return None
-    rows, j = np.concatenate(docs), np.concatenate(starts)
-    if not len(rows):
-        return None
-    return _merged(ids[rows], at[rows] - before + j, at[rows] - before + j + span)
+            made[rest[apart]] = np.minimum.reduceat(np.append(low, 0), ends)[::2]
+        made = np.where(s == 256, 0, np.minimum(made + 1, span)).astype(np.uint8)
+        tails = np.append(heads[1:], n) - 1
+        after = np.append(np.minimum.accumulate(low[::-1])[::-1], span)
+        since = np.minimum(since, low.min())
+        since[s[tails]] = np.minimum(after[moved[tails] + 1], span)
+        new_order = order[moved]
+        if n == len(column):
+            os.pwrite(new[0].fileno(), new_order.tobytes(), 0)
+            os.pwrite(new[1].fileno(), made.tobytes(), 0)
+            return
+        for i, k in zip(heads, tails + 1, strict=True):
+            os.pwrite(new[0].fileno(), new_order[i:k].tobytes(), 4 * int(at[s[i]]))
+            os.pwrite(new[1].fileno(), made[i:k].tobytes(), int(at[s[i]]))
+            at[s[i]] += k - i
+
+
+def _again(files, n: int, span: int):
+    """Rows whose string is that of a row before them: all of a run of common prefixes of `span` but its least. Runs may pass from block to block."""
+    least = -1  # of the run that is open
+    for a in range(0, n, BLOCK):
+        size = min(BLOCK, n - a)
+        low = np.frombuffer(os.pread(files[1].fileno(), size, a), np.uint8)
+        order = np.frombuffer(os.pread(files[0].fileno(), 4 * size, 4 * a), np.int32)
+        starts = np.flatnonzero(low < span)
+        if len(starts) == size:
+            least = int(order[-1])
+            continue
+        goes_on = not len(starts) or starts[0] > 0
+        runs = np.concatenate([[0], starts]) if goes_on else starts
+        first = np.minimum.reduceat(order, runs)
+        yield order[order > np.repeat(first, np.diff(np.append(runs, size)))]
+        if goes_on and least >= 0:
+            yield np.array([max(least, int(first[0]))], np.int32)
+            first = first.copy()
+            first[0] = min(least, int(first[0]))
+        least = int(first[-1])
+
+
+def column_order(columns: Columns, span: int):
+    """(column, rows whose string starting there occurs in an earlier row), for all columns from the right.
+
+    Two pairs of files take turns: the order of all suffixes, and common prefixes of neighbours up to `span`. In memory are
+    one column and one block of each file.
+    """
+    n = columns.rows
+    with tempfile.TemporaryFile(buffering=0) as a, tempfile.TemporaryFile(buffering=0) as b, tempfile.TemporaryFile(buffering=0) as c, tempfile.TemporaryFile(buffering=0) as d:
+        old, new = (a, b), (c, d)
+        for at in range(0, n, BLOCK):
+            size = min(BLOCK, n - at)
+            os.pwrite(a.fileno(), np.arange(at, at + size, dtype=np.int32).tobytes(), 4 * at)
+            os.pwrite(b.fileno(), bytes(size), at)
+        for j in range(columns.width - 1, -1, -1):
+            _round(columns.column(j), old, new, span)
+            old, new = new, old
+            if columns.width - j >= span:
+                for rows in _again(old, n, span):
+                    yield j, rows
+
+
+def _collection(parts, span: int, gram: int):
+    """Batches (doc, s, e) of the repeated strings of one collection, given as (doc, at, left, fragments) in order of precedence."""
+    before = span - gram
+
+    def out(found):
+        rows, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        made = _merged(ids[rows], at[rows] - before + j, at[rows] - before + j + span)
+        return pa.RecordBatch.from_arrays([*map(pa.array, made)], ["doc", "s", "e"])
+
+    with tempfile.TemporaryFile(buffering=0) as file:
+        columns, ids, at = Columns(file, 2 * span - gram), [], []
+        for part in parts:
+            raw, off = common.utf8(common.column(part, "frag"))
+            columns.add(raw, off, before - common.column(part, "left").to_numpy().astype(np.int64))
+            ids.append(common.column(part, "doc").to_numpy())
+            at.append(common.column(part, "at").to_numpy())
+        ids, at = np.concatenate(ids), np.concatenate(at)
+        found, n = [], 0
+        for j, rows in column_order(columns, span):
+            if len(rows):
+                found.append((rows, np.full(len(rows), j)))
+                n += len(rows)
+            if n >= FOUND:
+                yield out(found)
+                found, n = [], 0
+        if found:
+            yield out(found)
 
 
 def _ordered(frags: DataFrame, span: int, gram: int) -> DataFrame:
-    """(doc, s, e) of repeated strings; every anchor's fragments are one collection, in one task."""
-    from maskloom.llm.neardup import _groups_of
+    """(doc, s, e) of repeated strings of fragments (h, side, doc, at, left, frag); all fragments of one side that a task has are one collection.
+
+    Strings that are equal and start in one column hold the same anchor in the same place, so that no other anchor's fragments disturb them.
+    A side says how anchors grew; on two sides the same place of a text could stand in one column twice.
+    """
 
     def run(batches):
-        def flush(tables):
-            table = pa.concat_tables(tables).combine_chunks()
-            h, ids, at, left = (table.column(x).to_numpy() for x in ("h", "doc", "at", "left"))
-            group = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
-            raw, off = common.utf8(table.column("frag").chunk(0))
-            return _repeated(ids, at, left.astype(np.int64), group, raw, off, span, gram)
-
-        held, n = [], 0
-        for table in _groups_of(batches, "h"):
-            for a in range(0, 1):
-                held.append(table)
-                n += table.num_rows
-            if n >= CHUNK // 2:
-                if (found := flush(held)) is not None:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], ["doc", "s", "e"])
-                held, n = [], 0
-        if held and (found := flush(held)) is not None:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, found)], ["doc", "s", "e"])
+        def parts():
+            for batch in batches:
+                side = common.column(batch, "side").to_numpy()
+                edges = np.flatnonzero(np.diff(side)) + 1
+                for a, b in zip([0, *edges], [*edges, len(side)], strict=True):
+                    for part in common.slices(batch.slice(a, b - a), "frag"):
+                        yield int(side[a]), part
+
+        for _, group in itertools.groupby(parts(), key=lambda x: x[0]):
+            yield from _collection((part for _, part in group), span, gram)
 
     n = common.partitions(frags.sparkSession)
-    return frags.repartition(n, "h").sortWithinPartitions("h", "doc", "at").mapInArrow(run, "doc bigint, s bigint, e bigint")
+    return frags.repartition(n, "h").sortWithinPartitions("side", "h", "doc", "at").mapInArrow(run, "doc bigint, s bigint, e bigint")
 
 
-def _dealt(frags: DataFrame, span: int, gram: int) -> DataFrame:
-    """(doc, s, e) of repeated strings of anchors with very many fragments: each string goes by its own 128-bit hash, and only the first of each is aggregated."""
+def _halves(frags: DataFrame, span: int, gram: int) -> tuple[DataFrame, int]:
+    """The fragments once more under longer anchors, and the length of these: half the bytes that a string has beside its anchor join it.
 
-    def run(batches):
-        for batch in batches:
-            for part in common.slices(batch, "frag", 1 << 18):
-                raw, off = common.utf8(common.column(part, "frag"))
-                length = np.diff(off)
-                count = np.maximum(length - span + 1, 0)
-                row = np.repeat(np.arange(len(length)), count)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                a = off[:-1][row] + start
-                prefix, other = common.Prefix(raw), common.Prefix(raw ^ np.uint8(0x5A))
-                doc, at, left = (common.column(part, x).to_numpy() for x in ("doc", "at", "left"))
-                yield pa.RecordBatch.from_arrays([pa.array(prefix(a, a + span).view(np.int64)), pa.array(other(a, a + span).view(np.int64)), pa.array(doc[row]), pa.array(at[row] - left[row] + start)], ["w1", "w2", "doc", "s"])
-
-    strings = common.materialize(frags.mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, s bigint"), "strings")
-    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "s")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    again = strings.join(first, ["w1", "w2"]).filter((F.col("doc") != F.col("lead.doc")) | (F.col("s") != F.col("lead.s")))
-    return again.select("doc", "s", (F.col("s") + span).alias("e"))
+    Of the span - gram bytes beside an anchor every string has half or more on its left or on its right. Fragments go, without what only
+    other strings cover, to the collection of the bytes that stand there on the left, and to that of those on the right.
+    """
+    rest = span - gram
+    half = -(-rest // 2)
+    cut = lambda start, n: F.expr(f"substring(frag, {start} + 1, {n})")
+    left = F.struct(
+        F.xxhash64("h", "side", F.lit(0), cut(f"left - {half}", half)).alias("h"), (F.col("side") * 2).alias("side"), "doc", (F.col("at") - half).alias("at"), (F.col("left") - half).cast("int").alias("left"), cut("0", f"left - {half} + {span}").alias("frag")
+    )
+    keep = f"greatest(left - {rest - half}, 0)"
+    right = F.struct(
+        F.xxhash64("h", "side", F.lit(1), cut(f"left + {gram}", half)).alias("h"), (F.col("side") * 2 + 1).alias("side"), "doc", "at", F.least("left", F.lit(rest - half)).cast("int").alias("left"), cut(keep, "length(frag)").alias("frag")
+    )
+    both = F.array(F.when(F.col("left") >= half, left), F.when(F.expr(f"length(frag) >= left + {gram + half}"), right))
+    made = frags.select(F.explode(F.array_compact(both)).alias("x")).select("x.*")
+    return made.filter(F.length("frag") >= span), gram + half
+
+
+def _first_of_each(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of the fragments of one anchor that are equal byte by byte, and (doc, s, e) of the others, which are repeated throughout."""
+    same = ["h", "side", "left", "frag"]
+    lead = frags.groupBy(*same).agg(F.min(F.struct("doc", "at")).alias("lead"))
+    first = lead.select("h", "side", "lead.doc", "lead.at", "left", "frag")
+    begin = F.col("at") - F.col("left")
+    other = frags.join(lead.repartition(common.partitions(frags.sparkSession)), same).filter((F.col("doc") != F.col("lead.doc")) | (F.col("at") != F.col("lead.at")))
+    return first, other.select("doc", begin.alias("s"), (begin + F.length("frag")).alias("e"))
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    return common.materialize(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > FRAGMENTS).select("h"), "hot")
+
+
+def _parted(frags: DataFrame, hot: DataFrame, span: int, gram: int) -> DataFrame:
+    """(doc, s, e) of repeated strings of fragments; the hot anchors, of over FRAGMENTS fragments, are parted by longer anchors until none has more."""
+    out = None
+    while True:
+        none = gram == span or hot.isEmpty()
+        frags = frags if none else common.materialize(frags, "fragments")
+        found = _ordered(frags if none else frags.join(hot, "h", "left_anti").select(*frags.columns), span, gram)
+        out = found if out is None else out.unionAll(found)
+        if none:
+            return out
+        made, gram = _halves(frags.join(hot, "h", "left_semi").select(*frags.columns), span, gram)
+        first, other = _first_of_each(common.materialize(made, "fragments"))
+        frags = common.materialize(first, "fragments")
+        out, hot = out.unionAll(other), _hot(frags)
 
 
 def intervals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -308,15 +416,10 @@ def intervals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[Data
     rows = _found(docs, span, gram).repartition(n, F.coalesce("h", "doc")).sortWithinPartitions("h", "c", "doc", "at")
     matched = common.materialize(_matched(rows), "anchors")
     want = matched.filter("kind = 1").select("h", "doc", "at", "lr")
-    hot = common.materialize(want.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > FRAGMENTS).select("h"), "hot")
     dealt = docs.repartition(n, "doc")
     frags = _cut(dealt.join(want.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "lr")).alias("want")).hint("shuffle_hash"), "doc").select("doc", "t", "want"))
     found = matched.filter("kind = 0").select("doc", F.col("at").alias("s"), (F.col("at") + F.col("lr")).alias("e"))
-    if hot.isEmpty():
-        return dealt, found.unionAll(_ordered(frags, span, gram))
-    frags = common.materialize(frags, "fragments")
-    some = frags.join(hot, "h", "left_anti").select("h", "doc", "at", "left", "frag")
-    return dealt, found.unionAll(_ordered(some, span, gram)).unionAll(_dealt(frags.join(hot, "h", "left_semi"), span, gram))
+    return dealt, found.unionAll(_parted(frags.withColumn("side", F.lit(0)), _hot(want), span, gram))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,5 +460,3 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
                 yield pa.RecordBatch.from_arrays([common.column(part, "doc"), *(pa.array(list(x), pa.int64()) for x in cols[:3]), pa.array(list(cols[3]), pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-
-
