@@ -16,6 +16,8 @@ from maskloom.llm import common
 #: Rows of a leaf's epoch that one bucket of its order holds, about; only one bucket of a leaf is ever sorted.
 BUCKET_ROWS = 4096
 LEVELS = ("__d", "__l", "__s")
+#: Names of the operator's own columns beside those that it returns.
+INSIDE = frozenset(f"__{c}" for c in ("id", "tok", "whole", "rest", "buckets", "cut", "before", "bucket", "epoch", "key", "upto"))
 
 
 def words_in(text: Column) -> Column:
@@ -106,17 +108,22 @@ def bucket_of(row_id: Column, seed: int, prefix: str = "") -> Column:
     return F.shiftright(_head(order_key(row_id, F.col(f"{prefix}whole"), seed)) * F.col(f"{prefix}buckets"), 32)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """The rows selected, with all their columns, `epoch` (from 0), and the leaf's names under __d, __l and __s.
 
     levels: three columns, from the root; weights: for each level whole-number weights by name, 1 where
     none is given, 0 for nothing. The budget is `share` of all tokens. A leaf's rows are taken once for each whole
     epoch, then those of the next epoch, in the order of its key, whose running token total stays within the rest.
     Null names are the empty name; null texts have no tokens and come with whole epochs or at a prefix's start; rows
-    that repeat are taken each, ties in the order going by token count. An input column `epoch` gives way to the
-    operator's. An empty table gives an empty table.
+    that repeat are taken each, ties in the order going by token count. Input columns `epoch`, __d, __l and __s give way to the
+    operator's; others whose names the operator uses inside come back as they were. An empty table gives an empty table.
     """
-    tokens = words_in(F.col("text")) if tokens is None else tokens
+    tokens = words_in(F.col(text_col)) if tokens is None else tokens
+    docs = docs.drop(*LEVELS)
+    aside = {c: f"{c}{'_' * len(''.join(docs.columns))}" for c in docs.columns if c in INSIDE}
+    if aside:
+        back = {v: k for k, v in aside.items()}
+        return mix(docs.withColumnsRenamed(aside), levels, weights, share, epochs, seed, id_col, text_col, tokens).withColumnsRenamed(back)
     rows, leaf = plan(docs, levels, weights, tokens, F.col(id_col), share, epochs, seed)
     leaf = leaf.select(*LEVELS, *[F.col(c).alias(f"__{c}") for c in ("whole", "rest", "buckets", "cut", "before")])
     placed = rows.join(leaf, list(LEVELS)).withColumn("__bucket", bucket_of(F.col("__id"), seed, "__"))

@@ -120,7 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, s
     asked = components_of(queries, id_col, vec_col, scale).distinct()
     asked = common.materialize(asked.select(F.monotonically_increasing_id().alias("at"), "id", "v", F.size("v").alias("width")), "queries")
     n = common.partitions(spark)
-    blocks = max(1, math.ceil(asked.count() / QUERIES)), max(n, math.ceil(everything.count() / ROWS))
+    rows = everything.count()
+    blocks = max(1, math.ceil(asked.count() / QUERIES)), max(1, math.ceil(rows / ROWS), min(n, math.ceil(rows / CHUNK[1])))
     asked = asked.withColumn("qb", F.pmod(F.col("at"), F.lit(blocks[0])).cast("int"))
 
     def first(key, left, right):

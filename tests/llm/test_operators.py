@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tempfile
 import textwrap
 import zlib
 
@@ -104,7 +105,7 @@ def test_tagger_on_held_out_windows():
     model = pii.trained()
     texts, labels = pii.labelled_windows(400, 12345)
     ids = np.stack([pii._filled(pii.char_ids(t)) for t in texts])
-    path, _ = model.viterbi(ids)
+    path = np.stack(model.viterbi(list(model.emissions(ids)[0])))
     assert (path == labels).mean() > 0.97 and (path == labels)[labels > 0].mean() > 0.9
 
 
@@ -131,6 +132,32 @@ def test_model_adds_and_keeps():
     assert pii.find(["version 2.0 of 2024-01-02, password=04c2b6b343501bc0e2"], pii.trained())[0] == ([], [])
 
 
+def test_long_spans_are_found_wherever_they_stand():
+    model = pii.trained()
+    for value in ("maria.fernandez-gonzalez (at) informatik.uni-example (dot) de", "anna.maria.lopez-hernandez.de.la.cruz-y-garcia_1987 [at] research-department.university-of-somewhere [dot] org"):
+        for at in range(0, 24, 5):
+            text = "x" * at + " " + "some words that stand here, " * 4 + value + " and " + "other words that follow it " * 4
+            start = text.index(value)
+            assert pii.find([text], model)[0][1] == [(start, start + len(value), 0)]
+
+
+def test_model_on_real_texts(docs):
+    """Values that no base rule finds, planted between the words of documents; the documents themselves gain next to nothing."""
+    model, rng = pii.trained(), random.Random(4)
+    texts = [r.text for r in docs.collect() if r.text and len(r.text.split()) > 20][:120]
+    plain = pii.find(texts, model)
+    values = ["joe.doe [at] example [dot] com", "anna_k (at) post.example", "(555) 123-4567", "555-123-4567", "4111.1111.1111.1111", "2001:db8:85a3:0:0:8a2e:370:7334"]
+    hit, planted = 0, []
+    for t in texts:
+        words, value = t.split(" "), rng.choice(values)
+        at = rng.randrange(1, len(words))
+        planted.append((" ".join([*words[:at], value, *words[at:]]), value))
+    for (text, value), (base, all_) in zip(planted, pii.find([t for t, _ in planted], model), strict=True):
+        hit += any(text[s:e] == value for s, e, _ in set(all_) - set(base))
+    assert hit >= 0.9 * len(texts)
+    assert sum(len(a) - len(b) for b, a in plain) <= 0.02 * len(texts)
+
+
 def test_pii_query(spark, docs):
     both = docs.unionByName(odd(spark, ODD).withColumn("doc_id", F.col("doc_id") + 10_000), allowMissingColumns=True)
     rows = pii.detect(both).collect()
@@ -205,7 +232,29 @@ def slow_repeats(texts, span):
     return out
 
 
-@pytest.mark.parametrize("fragments", [100_000, 1])
+@pytest.mark.parametrize("block", [1 << 16, 7, 40])
+def test_column_order(block, monkeypatch):
+    """The files of order and common prefixes against a comparison of all strings of a column, in blocks of any size."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    rng, span, width = np.random.default_rng(block), 5, 14
+    rows = [(int(rng.integers(0, 4)), bytes(rng.choice(list(b"ab"), rng.integers(1, 11)).tolist())) for _ in range(150)]
+    off = np.cumsum([0, *(len(b) for _, b in rows)])
+    with tempfile.TemporaryFile(buffering=0) as file:
+        columns = substrings.Columns(file, width)
+        columns.add(np.frombuffer(b"".join(b for _, b in rows), np.uint8), off, np.array([a for a, _ in rows]))
+        assert all((columns.column(j) == [b[j - a] if a <= j < a + len(b) else 256 for a, b in rows]).all() for j in range(width))
+        got = {(j, int(r)) for j, found in substrings.column_order(columns, span) for r in found}
+    expect = set()
+    for j in range(width - span + 1):
+        seen = set()
+        for r, (a, b) in enumerate(rows):
+            if a <= j and len(w := b[j - a : j - a + span]) == span:
+                expect |= {(j, r)} if w in seen else set()
+                seen.add(w)
+    assert got == expect and expect
+
+
+@pytest.mark.parametrize("fragments", [100_000, 4])
 def test_repeats(spark, docs, fragments, monkeypatch):
     monkeypatch.setattr(substrings, "FRAGMENTS", fragments)
     rng = random.Random(8)
@@ -380,6 +429,11 @@ def test_mixing(spark, docs):
         got = sorted((r.doc_id, r["__d"], r["__l"], r["__s"], r["epoch"]) for r in _named(rows))
         assert got == sorted(slow_mix(both.collect()))
     assert mixing.mix(docs.limit(0), queries.levels(), queries.WEIGHTS).count() == 0
+    named = docs.withColumnRenamed("text", "body").selectExpr("*", "doc_id as __tok", "source as __d", "lang as __key", "'e' as epoch", "1 as __whole")
+    rows = mixing.mix(named, queries.levels(), queries.WEIGHTS, text_col="body").collect()
+    assert rows and all(r["__tok"] == r.doc_id and r["__key"] == r.lang and r["__whole"] == 1 and r["__d"] != r.source for r in rows)
+    plain = mixing.mix(docs, queries.levels(), queries.WEIGHTS).collect()
+    assert sorted((r.doc_id, r.epoch) for r in rows) == sorted((r.doc_id, r.epoch) for r in plain)
 
 
 def _named(rows):
@@ -502,6 +556,29 @@ def test_licences(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_versions_are_told_apart(spark):
+    s = licenses.SENTENCES
+    lib = s["LibFree"] + "; " + s["LgplFree"] + "; "
+    cases = {
+        s["Gpl2Free"] + "; " + s["Gpl2OnlyTerms"] + ".": "GPL-2.0-only",
+        f"{s['Gpl2Free']}; {s['Gpl2Terms']}; {s['Gpl2Only']}.": "GPL-2.0-only",
+        s["AgplFree"] + ". " + s["GplHope"] + ". " + s["AgplDetails"] + ".": "AGPL-3.0-or-later",
+        lib + s["Lgpl21Later"] + ".": "LGPL-2.1-or-later",
+        lib + s["Gpl2Later"] + ".": "LGPL-2.0-or-later",
+        lib + "or else.": "LGPL",
+        s["Lgpl3Free"] + ".": "LGPL-3.0-or-later",
+        "Terms. " + s["Epl2"] + "\nhttps://x.example": "EPL-2.0",
+        s["Unlicense"] + ".": "Unlicense",
+        s["ZlibAsIs"] + ". Never. " + s["ZlibGrant"]: "Zlib",
+        s["BoostGrant"]: "BSL-1.0",
+        "\n".join([s["BsdRedist"], "1. " + s["BsdSource"] + ".", "2. " + s["BsdBinary"] + ".", "3. " + s["BsdAdvert"], "This product.", s["BsdEndorse"] + "."]): "BSD-4-Clause",
+        s["Gpl2Free"] + "; " + s["PerlTerms"] + ".": "Perl",
+    }
+    cases |= {f"{s[k]}\nx": name for name, k in licenses.RULES if k.startswith("Spdx")}
+    got = licenses.scan(odd(spark, list(cases))).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == list(cases.values())
+
+
 def test_wrapped_licences(spark):
     s = licenses.SENTENCES
     fill = lambda text, mark="", width=60: textwrap.fill(text, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)

@@ -39,3 +39,17 @@ def test_pipeline(spark, tmp_path):
     assert counts[0] >= counts[1] == counts[2] >= counts[3] > 0
     assert docs.count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Every stage takes nulls in any column, texts without words, repeated rows, clashing extra columns, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (9001, " \n", None, "src1", None), (9002, "x" * 9000, None, None, 9000), (9003, None, "de", "src2", None)], docs.schema)
+    table = docs.unionByName(odd).unionByName(docs.limit(3)).selectExpr("*", "'a' as __d", "1 as __tok", "'t' as id", "2 as epoch")
+    for at, df in (("odd", table), ("empty", table.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            before, df = df, stage(spark, df, SF)
+            assert name == "packing" or df.columns == before.columns
+            df.write.parquet(out := str(tmp_path / at / name))
+            df = spark.read.parquet(out)
+        assert (df.count() > 0) == (at == "odd")
