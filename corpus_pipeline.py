@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            common.drop_table(before)
+        before = docs
     return docs

@@ -12,14 +12,18 @@ from maskloom.plans.tables import materialize
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, comp): the least node that the links (a, b) connect each node with. Large-star and small-star rounds."""
+    """(node, comp): the least node that the links (a, b) connect each node with. Large-star and small-star rounds.
+
+    The minima are dealt anew before they are joined, so that Spark can split the join of a node of very many links.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition(n)
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).repartition(n)
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         e = materialize(large.join(low, "a").select(F.explode(ends).alias("x")).select("x.*").filter("a <> b").distinct(), "links")
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
