@@ -195,3 +195,99 @@ def bilinear(axis1: Column, axis2: Column, values: Column, slew: Column, load: C
 def black_mttf_years(j: Column, j_ref: float, mttf_ref: float, n: float) -> Column:
     """Black's equation against a reference current density; unbounded for no current."""
     return F.when(j <= 0, F.lit(float("inf"))).otherwise(mttf_ref * F.pow(F.lit(j_ref) / j, F.lit(n)))
+
+
+def midpoint(e) -> tuple[Column, Column]:
+    """The middle of an edge, towards zero where it lies between two units."""
+    half = lambda v: (F.signum(v) * F.floor(F.abs(v) / F.lit(2))).cast("bigint")
+    return half(e["ax"] + e["bx"]), half(e["ay"] + e["by"])
+
+
+def edge_box(e) -> tuple[Column, ...]:
+    return F.least(e["ax"], e["bx"]), F.least(e["ay"], e["by"]), F.greatest(e["ax"], e["bx"]), F.greatest(e["ay"], e["by"])
+
+
+def is_horizontal(e) -> Column:
+    return (e["ay"] == e["by"]) & (e["ax"] != e["bx"])
+
+
+def is_vertical(e) -> Column:
+    return (e["ax"] == e["bx"]) & (e["ay"] != e["by"])
+
+
+def is_axis_aligned(e) -> Column:
+    return is_horizontal(e) | is_vertical(e)
+
+
+def _proper(e) -> Column:
+    return (e["ax"] != e["bx"]) | (e["ay"] != e["by"])
+
+
+def has_angle(e, degrees: float, tolerance: float, other: bool = False) -> Column:
+    """Whether an edge runs within a tolerance of an angle, either way round, or (other) whether it doesn't; edges of no length do neither."""
+    off = F.abs(angle(e) - F.lit(float(degrees))) % F.lit(180.0)
+    near = F.when(off > 90, 180.0 - off).otherwise(off) <= tolerance
+    return _proper(e) & (~near if other else near)
+
+
+def length_at_least(e, least: int) -> Column:
+    return length_squared(e) >= F.lit(least * least).cast("decimal(38,0)")
+
+
+def length_at_most(e, most: int) -> Column:
+    return length_squared(e) <= F.lit(most * most).cast("decimal(38,0)")
+
+
+def _edge(ax, ay, bx, by) -> Column:
+    return F.struct(*[F.round(v).cast("bigint").alias(n) for v, n in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by, "by"))])
+
+
+def _along(e) -> tuple[Column, Column, Column]:
+    dx, dy = (e["bx"] - e["ax"]).cast("double"), (e["by"] - e["ay"]).cast("double")
+    return dx, dy, F.sqrt(dx * dx + dy * dy)
+
+
+def edge_center(e, length: int) -> Column:
+    """The piece of a length about the middle of an edge; shorter edges whole; null for edges and pieces of no length."""
+    dx, dy, n = _along(e)
+    x, y = midpoint(e)
+    t = F.lit(float(length)) / (2 * n)
+    piece = _edge(x - dx * t, y - dy * t, x + dx * t, y + dy * t)
+    whole = F.struct(*[e[n_].alias(n_) for n_ in ("ax", "ay", "bx", "by")])
+    return F.when(_proper(e) & F.lit(length > 0), F.when(F.floor(n) <= length, whole).otherwise(piece))
+
+
+def edge_extended(e, before: int, after: int) -> Column:
+    """An edge made longer at its start and end, in whole units; an edge of no length stays."""
+    dx, dy, n = _along(e)
+    ux, uy = dx / n, dy / n
+    whole = F.struct(*[e[n_].alias(n_) for n_ in ("ax", "ay", "bx", "by")])
+    return F.when(_proper(e), _edge(e["ax"] - ux * before, e["ay"] - uy * before, e["bx"] + ux * after, e["by"] + uy * after)).otherwise(whole)
+
+
+def path_outline(points: Column, path_width: Column, before: Column, after: Column) -> Column:
+    """The polygon of a straight path of two points along an axis: half the width, towards zero, on each side, longer by `before` and `after` at its ends."""
+    a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+    half = F.floor(path_width / 2).cast("bigint")
+    sx, sy = F.signum(b["x"] - a["x"]).cast("bigint"), F.signum(b["y"] - a["y"]).cast("bigint")
+    x0, y0, x1, y1 = a["x"] - sx * before, a["y"] - sy * before, b["x"] + sx * after, b["y"] + sy * after
+    left, low = F.least(x0, x1) - F.abs(sy) * half, F.least(y0, y1) - F.abs(sx) * half
+    right, high = F.greatest(x0, x1) + F.abs(sy) * half, F.greatest(y0, y1) + F.abs(sx) * half
+    return F.when((F.size(points) == 2) & (path_width > 0) & (F.abs(sx) + F.abs(sy) == 1), box_polygon(left, low, right, high))
+
+
+def turned(angle_: Column, rot: Column, mirror: Column) -> Column:
+    """A port's direction (0 east, then counter-clockwise in quarter turns) under a transform: a mirror swaps north and south before the turn."""
+    return F.pmod(F.when(mirror, -angle_).otherwise(angle_) + rot, F.lit(4))
+
+
+def repeats(rows: Column, cols: Column, offsets: Column) -> Column:
+    """Placements of a repetition: rows times columns, or one more than its offsets."""
+    return F.when(offsets.isNotNull(), F.size(offsets) + 1).otherwise(rows * cols).cast("bigint")
+
+
+def repeat_box(row, col, rows: Column, cols: Column) -> tuple[Column, ...]:
+    """The box over the origin and the far corner of a regular repetition, of steps row and col (x, y); null if it has no placement."""
+    x, y = col[0] * (cols - 1) + row[0] * (rows - 1), col[1] * (cols - 1) + row[1] * (rows - 1)
+    zero, ok = F.lit(0).cast("bigint"), (rows > 0) & (cols > 0)
+    return tuple(F.when(ok, f(v, zero)) for f, v in ((F.least, x), (F.least, y), (F.greatest, x), (F.greatest, y)))

@@ -104,8 +104,8 @@ def worst_path(edges: DataFrame, arrival: DataFrame, endpoint: int, most: int =
 
 
 def annotated(edges: DataFrame, delays: DataFrame) -> DataFrame:
-    """Edges with the delay of a (src, dst, delay) table where it has one; also whether it had."""
-    new = delays.groupBy("src", "dst").agg(F.last("delay").alias("new"))
+    """Edges with the delay of a (seq, src, dst, delay) table where it has one, the last by seq if it has several; also whether it had."""
+    new = delays.groupBy("src", "dst").agg(F.max_by("delay", "seq").alias("new"))
     return edges.join(new, ["src", "dst"], "left").withColumn("updated", F.col("new").isNotNull()).withColumn("delay", F.coalesce("new", "delay")).drop("new")
 
 
@@ -148,3 +148,80 @@ def half_crossing(currents: DataFrame, cap: float, vdd: float) -> DataFrame:
     v = v.withColumn("pv", F.lag("v").over(w)).withColumn("pt", F.lag("t").over(w))
     cross = F.when((F.col("pv") < vdd / 2) & (F.col("v") >= vdd / 2), F.col("pt") + (vdd / 2 - F.col("pv")) / (F.col("v") - F.col("pv")) * (F.col("t") - F.col("pt")))
     return v.groupBy("key").agg(F.coalesce(F.min(cross), F.lit(0.0)).alias("delay"))
+
+
+def net_annotated(edges: DataFrame, nets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Net edges get resistance times capacitance of the net (seq, net, r, c, pins) that has both their ends among its pins; the last net holds.
+
+    Also (edges_updated, nets_skipped): how many pairs of pins met an edge, and how many nets met none. Each pin meets edges by an equal key, so
+    that no net's pins are paired with each other. Nodes are named (src and dst are pins' names).
+    """
+    pin = nets.select("seq", (F.col("r") * F.col("c")).alias("rc"), F.explode(F.array_distinct("pins")).alias("pin"))
+    hit = edges.filter("kind = 'net' and src <> dst").select("edge_idx", "src", "dst").join(pin.withColumnRenamed("pin", "src"), "src").join(pin.select("seq", F.col("pin").alias("dst")), ["dst", "seq"])
+    hit = materialize(hit.select("edge_idx", "seq", "rc"), "annotated")
+    new = hit.groupBy("edge_idx").agg(F.max_by("rc", "seq").alias("new"))
+    out = edges.join(new, "edge_idx", "left").withColumn("delay", F.coalesce("new", F.col("delay").cast("double"))).select(*edges.columns)
+    met = hit.agg(F.count("*").alias("edges_updated"), F.count_distinct("seq").alias("met"))
+    whole = nets.agg(F.count("*").alias("nets"))
+    counts = met.withColumn("k", F.lit(0)).join(whole.withColumn("k", F.lit(0)), "k").select("edges_updated", (F.col("nets") - F.col("met")).alias("nets_skipped"))
+    return out, counts
+
+
+def clock_credit(edges: DataFrame, root: int, pairs: DataFrame, late: float, early: float) -> DataFrame:
+    """(launch, capture, common, credit): the clock path that both ends share counts once, not late and early: common * (late - early)."""
+    return common_clock(edges, root, pairs).withColumn("credit", F.greatest("common", F.lit(0)) * F.lit(late - early))
+
+
+def arrivals_with_slew(edges: DataFrame, delay, slew, inputs: DataFrame | None = None) -> DataFrame:
+    """(node, arrival, slew): latest arrivals where an edge's delay and the slew behind it follow from the slew before it.
+
+    delay, slew: functions of three columns, the slew at the edge's start, the load of its end (the sum of `delay` of the net edges that leave it), and
+    the edge's own delay. A node keeps the slew of the edge that arrives last, of equal ones the first by edge_idx. Levels
+    are found once; each level meets only its own edges. inputs: (node, arrival, slew) of sources that don't start at 0.
+    """
+    start = sources(edges).withColumns({"arrival": F.lit(0.0), "slew": F.lit(0.0)})
+    if inputs is not None:
+        start = start.select("node").join(inputs.select("node", F.col("arrival").cast("double").alias("arrival"), F.col("slew").cast("double").alias("slew")), "node", "left").fillna(0.0, ["arrival", "slew"])
+    load = edges.filter("kind = 'net'").groupBy(F.col("src").alias("dst")).agg(F.sum(F.col("delay").cast("double")).alias("load"))
+    from maskloom.plans.graph import levels
+
+    level = materialize(levels(edges), "levels")
+    work = edges.join(load, "dst", "left").join(level.select(F.col("node").alias("dst"), F.col("value").alias("level")), "dst")
+    work = materialize(work.select("edge_idx", "src", "dst", F.col("delay").cast("double").alias("own"), F.coalesce("load", F.lit(0.0)).alias("load"), "level"), "leveled")
+    known = materialize(start.select("node", "arrival", "slew"), "arrivals")
+    for n in range(1, (level.agg(F.max("value")).first()[0] or 0) + 1):
+        met = work.filter(F.col("level") == n).join(known.withColumnRenamed("node", "src"), "src")
+        made = met.select("dst", F.struct((F.col("arrival") + delay(F.col("slew"), F.col("load"), F.col("own"))).alias("arrival"), (-F.col("edge_idx")).alias("first"), slew(F.col("slew"), F.col("load"), F.col("own")).alias("slew")).alias("x"))
+        known = known.unionAll(materialize(made.groupBy(F.col("dst").alias("node")).agg(F.max("x").alias("x")).select("node", "x.arrival", "x.slew"), "arrivals"))
+    return known
+
+
+def scenarios(edges: DataFrame, factors: dict[str, tuple[int, int]], exceptions: DataFrame) -> DataFrame:
+    """(scenario, worst_slack, worst_endpoint) and, under a null scenario, the worst of all: factors are (delay factor, period) of each scenario.
+
+    exceptions: (scenario, seq, node, rule, value) as excepted() reads them. All scenarios go through one propagation; sinks without a finite slack don't count.
+    """
+    table = F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(f).cast("bigint").alias("factor"), F.lit(p).cast("bigint").alias("period")) for k, (f, p) in factors.items()])
+    named = lambda c: F.struct("scenario", F.col(c).alias("n")).alias(c)
+    scaled = materialize(edges.withColumn("x", F.explode(table)).select("*", "x.*").select(named("src"), named("dst"), "kind", (F.col("delay") * F.col("factor")).alias("delay")), "scenarios")
+    ends = arrivals(scaled).join(sinks(scaled), "node").select("node.scenario", F.col("node.n").alias("node"), F.col("value").alias("arrival"))
+    period = F.create_map(*[x for k, (_, p) in factors.items() for x in (F.lit(k), F.lit(p).cast("bigint"))])
+    last = exceptions.groupBy("scenario", "node").agg(F.max_by(F.struct("rule", "value"), "seq").alias("e")).select("scenario", "node", "e.*")
+    limit = F.when(F.col("rule") == "multicycle", F.col("value") * F.col("period")).when(F.col("rule") == "max_delay", F.col("value")).when(F.col("rule").isNull(), F.col("period"))
+    slack = ends.join(last, ["scenario", "node"], "left").withColumn("period", F.try_element_at(period, F.col("scenario"))).withColumn("slack", limit - F.col("arrival")).filter("slack is not null")
+    worst_ = F.min(F.struct("slack", "node"))
+    return slack.groupingSets([[F.col("scenario")], []], "scenario").agg(worst_.alias("w")).select("scenario", F.col("w.slack").alias("worst_slack"), F.col("w.node").alias("worst_endpoint"))
+
+
+def path_report(path: DataFrame, arrival: DataFrame, required_: DataFrame) -> DataFrame:
+    """(line, text): a path (step, node) as text, with arrival, required time and slack of its end and the steps' times."""
+    p = path.join(arrival.select("node", F.col("value").cast("double").alias("at")), "node").join(required_.select("node", F.col("value").cast("double").alias("need")), "node", "left")
+    w = Window.orderBy("step")  # one path
+    p = p.withColumn("delta", F.col("at") - F.coalesce(F.lag("at").over(w), F.col("at")))
+    ends = p.agg(F.min_by("node", "step").alias("first"), F.max_by("node", "step").alias("last"), F.max_by("at", "step").alias("at"), F.max_by("need", "step").alias("need"))
+    head = F.array(
+        F.format_string("Path: %s → %s", F.col("first").cast("string"), F.col("last").cast("string")), F.format_string("  arrival = %.4f", "at"), F.format_string("  required = %.4f", "need"),
+        F.format_string("  slack = %.4f", F.col("need") - F.col("at")), F.lit(""), F.lit("  step  cumul    delta   pin"),
+    )
+    top = ends.filter("first is not null").select(F.posexplode(head).alias("line", "text"))
+    return top.unionAll(p.select((F.col("step") + 6).alias("line"), F.format_string("  %4d  %7.4f  %+7.4f  %s", "step", "at", "delta", F.col("node").cast("string")).alias("text")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom import queries_io
+from maskloom import queries_io, queries_polygons
 from maskloom.functions import geometry as G
 from maskloom.operators import connect, correct, drc, kernels, place, region, spatial, timing
 from maskloom.plans import graph
@@ -110,11 +110,11 @@ def select_by_aspect(spark, sf_dir):
 
 @query(
     """SELECT id, unnest([x0, x0, x1, x1]) AS ax, unnest([y0, y1, y1, y0]) AS ay, unnest([x0, x1, x1, x0]) AS bx, unnest([y1, y1, y0, y0]) AS by_, unnest([y1 - y0, x1 - x0, y1 - y0, x1 - x0]) AS length,
-    unnest([90.0, 0.0, 90.0, 0.0]::DOUBLE[]) AS angle FROM rects WHERE layer = 0""",
+    unnest([90.0, 0.0, 90.0, 0.0]::DOUBLE[]) AS angle FROM rects""",
     "rects",
 )
 def edges_of_polygons(spark, sf_dir):
-    r = _layer(spark, sf_dir, 0).withColumn("e", F.explode(G.edges_of(G.box_polygon(*[F.col(c) for c in BOX]))))
+    r = view(spark, sf_dir, "rects").withColumn("e", F.explode(G.edges_of(G.box_polygon(*[F.col(c) for c in BOX]))))
     e = F.col("e")
     return r.select("id", "e.ax", "e.ay", "e.bx", F.col("e.by").alias("by_"), F.sqrt(G.length_squared(e).cast("double")).cast("bigint").alias("length"), G.angle(e).alias("angle"))
 
@@ -490,14 +490,6 @@ def cdc(spark, sf_dir):
     return timing.crossings(e, nodes.withColumn("domain", F.concat(F.lit("d"), (F.col("node") % 3).cast("string"))))
 
 
-@query()
-def worst_path(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    a = timing.arrivals(e)
-    end = a.orderBy(F.desc("value"), "node").first()
-    return timing.worst_path(e, a, end.node)
-
-
 # --- placement and routing -----------------------------------------------------------------------
 
 
@@ -580,11 +572,11 @@ def global_placement(spark, sf_dir):
 
 
 @query(
-    " UNION ALL ".join(f"SELECT id, '{s}' AS side, {x} - 6 AS x0, {y} - 6 AS y0, {x} + 6 AS x1, {y} + 6 AS y1 FROM rects WHERE layer = 3" for s, x, y in (("ll", "x0", "y0"), ("lr", "x1", "y0"), ("ul", "x0", "y1"), ("ur", "x1", "y1"))),
+    " UNION ALL ".join(f"SELECT id, '{s}' AS side, {x} - 6 AS x0, {y} - 6 AS y0, {x} + 6 AS x1, {y} + 6 AS y1 FROM rects" for s, x, y in (("ll", "x0", "y0"), ("lr", "x1", "y0"), ("ul", "x0", "y1"), ("ur", "x1", "y1"))),
     "rects",
 )
 def opc_serifs(spark, sf_dir):
-    return correct.serifs(_layer(spark, sf_dir, 3), 12)
+    return correct.serifs(view(spark, sf_dir, "rects"), 12)
 
 
 @query(
@@ -605,28 +597,33 @@ def opc_assist_bars(spark, sf_dir):
     return correct.assist_bars(view(spark, sf_dir, "rects"), 150, 20, 10)
 
 
-_CORNERS = "c AS (SELECT id, unnest([0, 1, 2, 3]) AS k, unnest([x0, x0, x1, x1]) AS x, unnest([y0, y1, y1, y0]) AS y FROM rects WHERE layer = 1)"
+_CORNERS = "c AS (SELECT id, layer, unnest([0, 1, 2, 3]) AS k, unnest([x0, x0, x1, x1]) AS x, unnest([y0, y1, y1, y0]) AS y FROM rects)"
 
 
-@query(f"WITH {_CORNERS} SELECT a.id AS a_id, b.id AS b_id, a.k AS a_k, b.k AS b_k, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS squared FROM c a JOIN c b ON a.id < b.id AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 WHERE squared > 0 AND squared < 3600", "rects")
+@query(f"WITH {_CORNERS} SELECT a.id AS a_id, b.id AS b_id, a.k AS a_k, b.k AS b_k, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS squared FROM c a JOIN c b ON a.layer = b.layer AND a.id < b.id AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 WHERE squared > 0 AND squared < 3600", "rects")
 def lfd_near_corners(spark, sf_dir):
-    return correct.near_corners(_layer(spark, sf_dir, 1), 60)
+    return correct.near_corners(view(spark, sf_dir, "rects"), 60, ["layer"])
 
 
 @query(
-    "WITH g AS (SELECT i, j, i * 100 + 500 AS x0, j * 100 + 500 AS y0, i * 100 + 560 AS x1, j * 100 + 560 AS y1 FROM range(25) a(i), range(25) b(j)) SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE r.x0 - 10 < g.x1 AND g.x0 < r.x1 + 10 AND r.y0 - 10 < g.y1 AND g.y0 < r.y1 + 10)",
+    """WITH f AS (SELECT min(x0) AS ox, min(y0) AS oy, (max(x1) - min(x0) - 60) // 100 + 1 AS nx, (max(y1) - min(y0) - 60) // 100 + 1 AS ny FROM rects),
+    g AS (SELECT ox, oy, i, unnest(range(ny)) AS j FROM (SELECT *, unnest(range(nx)) AS i FROM f)), b AS (SELECT r.*, f.*, CAST(floor((x0 - 70 - ox) / 100.0) AS BIGINT) + 1 AS i0, CAST(ceil((x1 + 10 - ox) / 100.0) AS BIGINT) AS i1, CAST(floor((y0 - 70 - oy) / 100.0) AS BIGINT) + 1 AS j0, CAST(ceil((y1 + 10 - oy) / 100.0) AS BIGINT) AS j1 FROM rects r, f),
+    k AS (SELECT DISTINCT i, j FROM (SELECT i, unnest(range(j0, j1)) AS j FROM (SELECT *, unnest(range(i0, i1)) AS i FROM b)))
+    SELECT i, j, ox + i * 100 AS x0, oy + j * 100 AS y0, ox + i * 100 + 60 AS x1, oy + j * 100 + 60 AS y1 FROM g ANTI JOIN k USING (i, j)""",
     "rects",
 )
 def density_fill(spark, sf_dir):
-    return correct.fill(view(spark, sf_dir, "rects"), (500, 500, 2960, 2960), 60, 100, 10)
+    """The fill of the whole box of all shapes."""
+    r = view(spark, sf_dir, "rects")
+    return correct.fill(r, tuple(spatial.bounds(r).select(*BOX).first()), 60, 100, 10)
 
 
 @query(
-    "WITH v AS (SELECT id, x0 AS x, y0 AS y, 1 + id % 3 AS n FROM rects WHERE layer = 0), a AS (SELECT *, unnest(range(n)) AS i FROM v), b AS (SELECT *, unnest(range(n)) AS j, ((n - 1) * 14 + 8) // 2 AS h FROM a) SELECT id, i, j, x - h + i * 14 AS x0, y - h + j * 14 AS y0, x - h + i * 14 + 8 AS x1, y - h + j * 14 + 8 AS y1 FROM b",
+    "WITH v AS (SELECT id, x0 AS x, y0 AS y, 1 + id % 3 AS n FROM rects), a AS (SELECT *, unnest(range(n)) AS i FROM v), b AS (SELECT *, unnest(range(n)) AS j, ((n - 1) * 14 + 8) // 2 AS h FROM a) SELECT id, i, j, x - h + i * 14 AS x0, y - h + j * 14 AS y0, x - h + i * 14 + 8 AS x1, y - h + j * 14 + 8 AS y1 FROM b",
     "rects",
 )
 def via_arrays(spark, sf_dir):
-    v = _layer(spark, sf_dir, 0).select("id", F.col("x0").alias("x"), F.col("y0").alias("y"), (1 + F.col("id") % 3).alias("n"))
+    v = view(spark, sf_dir, "rects").select("id", F.col("x0").alias("x"), F.col("y0").alias("y"), (1 + F.col("id") % 3).alias("n"))
     return correct.via_cuts(v, 8, 14)
 
 
@@ -642,15 +639,15 @@ def sta_exceptions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_levels("SELECT src AS node, 0 AS value FROM t_edges WHERE src = 1007", "value + delay")}, RECURSIVEMARK p AS (SELECT DISTINCT 7000 + g.i AS launch, 8000 + (g.i * 3) % 50 AS capture FROM range(12) g(i)),
+    f"""WITH {_levels("SELECT src AS node, 0 AS value FROM t_edges WHERE src = 1007", "value + delay")}, RECURSIVEMARK p AS (SELECT DISTINCT src AS launch, dst AS capture FROM t_edges),
     e AS (SELECT launch AS n FROM p UNION SELECT capture FROM p), u0 AS (SELECT n, n AS up FROM e), {", ".join(f"u{i + 1} AS (SELECT DISTINCT n, src AS up FROM u{i} JOIN t_edges ON dst = up)" for i in range(8))},
     u AS (SELECT DISTINCT n, up, value FROM ({" UNION ALL ".join(f"SELECT * FROM u{i}" for i in range(9))}) JOIN v ON node = up)
     SELECT p.launch, p.capture, CAST(coalesce(max(a.value) FILTER (b.up IS NOT NULL), 0) AS BIGINT) AS common FROM p LEFT JOIN u a ON a.n = p.launch LEFT JOIN u b ON b.n = p.capture AND b.up = a.up GROUP BY ALL""".replace("RECURSIVEMARK ", ""),
     "t_edges",
 )
 def sta_common_clock(spark, sf_dir):
-    p = spark.range(12).select((7000 + F.col("id")).alias("launch"), (8000 + (F.col("id") * 3) % 50).alias("capture"))
-    return timing.common_clock(_edges(spark, sf_dir), 1007, p)
+    e = _edges(spark, sf_dir)
+    return timing.common_clock(e, 1007, e.select(F.col("src").alias("launch"), F.col("dst").alias("capture")).distinct())
 
 
 @query(
@@ -684,5 +681,6 @@ def negotiated_routes(spark, sf_dir):
     return kernels.region_routes(p, 24, 12)
 
 
-QUERIES |= queries_io.QUERIES
-SQL |= queries_io.SQL
+for part in (queries_io, queries_polygons):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
