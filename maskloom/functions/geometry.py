@@ -291,3 +291,64 @@ def repeat_box(row, col, rows: Column, cols: Column) -> tuple[Column, ...]:
     x, y = col[0] * (cols - 1) + row[0] * (rows - 1), col[1] * (cols - 1) + row[1] * (rows - 1)
     zero, ok = F.lit(0).cast("bigint"), (rows > 0) & (cols > 0)
     return tuple(F.when(ok, f(v, zero)) for f, v in ((F.least, x), (F.least, y), (F.greatest, x), (F.greatest, y)))
+
+
+def expanded(box, x: Column, y: Column) -> tuple[Column, ...]:
+    """The least box over a box and a point; of an empty box, the point."""
+    return union(box, (x, y, x, y))
+
+
+def _snapped(value: Column, origin: Column, pitch: Column) -> Column:
+    off = value - origin
+    whole = F.signum(off) * F.floor((F.abs(off) + F.floor(pitch / 2)) / F.greatest(pitch, F.lit(1)))
+    return F.when(pitch > 1, origin + whole.cast("bigint") * pitch).otherwise(value)
+
+
+def snapped_path(points: Column, x_grid, y_grid) -> Column:
+    """The vertices of a wire on the nearest tracks of (origin, pitch) grids, halves away from the origin, repeated ones dropped; null if one vertex is left.
+
+    A grid that is null or has a pitch of one or less leaves its coordinate as it is.
+    """
+    on = lambda v, grid: F.coalesce(_snapped(v, *grid), v).cast("bigint")
+    moved = F.transform(points, lambda p: F.struct(on(p["x"], x_grid).alias("x"), on(p["y"], y_grid).alias("y")))
+    kept = F.filter(F.arrays_zip(moved.alias("p"), F.concat(F.array(F.lit(None).cast("struct<x: bigint, y: bigint>")), moved).alias("before")), lambda z: z["p"].isNotNull() & ~z["p"].eqNullSafe(z["before"]))
+    return F.when(F.size(kept) >= 2, F.transform(kept, lambda z: z["p"]))
+
+
+def polygon_issues(points: Column) -> Column:
+    """What is wrong with a ring, in a fixed order: duplicate_vertex, zero_area, self_intersecting (edges along the axes that cross), wrong_winding.
+
+    Under three points it is zero_area alone. An area of half a unit counts as none.
+    """
+    n, area = F.size(points), double_area(points)
+    pairs = F.zip_with(points, _next(points), lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+    repeated = F.exists(pairs, lambda e: (e["ax"] == e["bx"]) & (e["ay"] == e["by"]))
+
+    def crosses(h, v):
+        flat = (h["ay"] == h["by"]) & (v["ax"] == v["bx"])
+        x = (v["ax"] > F.least(h["ax"], h["bx"])) & (v["ax"] < F.greatest(h["ax"], h["bx"]))
+        return flat & x & (h["ay"] > F.least(v["ay"], v["by"])) & (h["ay"] < F.greatest(v["ay"], v["by"]))
+
+    crossed = F.exists(pairs, lambda h: F.exists(pairs, lambda v: crosses(h, v)))  # neighbours share an end, so they never cross
+    found = F.array(F.when(repeated, "duplicate_vertex"), F.when(F.abs(area) < 2, "zero_area"), F.when(crossed, "self_intersecting"), F.when(area >= 2, "wrong_winding"))
+    return F.when(n < 3, F.array(F.lit("zero_area"))).otherwise(F.array_compact(found))
+
+
+def lookup_table(body: Column) -> Column:
+    """struct<index_1, index_2, values> of the text of a timing table: numbers in quoted rows, or without quotes; what is not named is empty.
+
+    The last statement of a name holds. Text that is no number is an error.
+    """
+
+    def numbers(name):
+        payload = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(body, F.lit(rf"(?:^|[;{{\s]){name}\s*\(([^)]*)\)"), F.lit(1))), -1)
+        rows = F.when(F.contains(payload, F.lit('"')), F.array_join(F.regexp_extract_all(payload, F.lit('"([^"]*)"'), F.lit(1)), ",")).otherwise(payload)
+        return F.transform(F.filter(F.split(rows, ","), lambda t: F.regexp_like(t, F.lit(r"\S"))), lambda t: F.regexp_replace(t, r"\s", "").cast("double")).alias(name)
+
+    return F.struct(numbers("index_1"), numbers("index_2"), numbers("values"))
+
+
+def table_at(body: Column, slew: Column, load: Column) -> Column:
+    """The value of a timing table's text at (slew, load); null without a table."""
+    t = lookup_table(body)
+    return F.when(body.isNotNull(), bilinear(t["index_1"], t["index_2"], t["values"], slew, load))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.plans.tables import materialize
+
 
 def half_perimeters(pins: DataFrame) -> DataFrame:
     """(net, hpwl): half the perimeter of each net's pins; nets of one pin don't count."""
@@ -13,9 +15,17 @@ def half_perimeters(pins: DataFrame) -> DataFrame:
 
 
 def ranked(nets: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """Nets with their place (from 0) in the order of a measure, ties by net. A global rank needs one task's window: rank summaries, not rows."""
-    order = F.desc(by) if descending else F.col(by)
-    return nets.withColumn("place", F.row_number().over(Window.orderBy(order, "net")) - 1)
+    """Nets with their place (from 0) in the order of a measure, ties by net; null measures come first, or last if descending.
+
+    Rows are dealt by ranges of the measure and net; the counts of the ranges, one row a partition, give each range its first place.
+    """
+    order = [F.desc(by) if descending else F.col(by), F.col("net")]
+    n = int(nets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(nets.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    first = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(first), "__part").withColumn("place", F.col("__first") + own).drop("__part", "__first")  # first: at most n rows
 
 
 def wire_metrics(segments: DataFrame) -> DataFrame:
@@ -96,8 +106,6 @@ def spanning_length(pins: DataFrame) -> DataFrame:
 
 def global_placed(pins: DataFrame, most: int = 200) -> DataFrame:
     """(pin, x, y) after rounds of moving every pin half way to the mean of its net, in whole units, until the sum of half perimeters changes by less than 1."""
-    from maskloom.plans.tables import materialize
-
     wire = lambda at: half_perimeters(at).agg(F.coalesce(F.sum("hpwl"), F.lit(0))).first()[0]
     half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
     at, before = pins, wire(pins)

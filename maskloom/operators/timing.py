@@ -73,6 +73,11 @@ def corners(edges: DataFrame, factors: dict[str, int], period: int) -> DataFrame
     return arrivals(scaled).join(ends, "node").groupBy("node.corner").agg(F.max("value").alias("worst_arrival"), F.min(F.lit(period) - F.col("value")).alias("worst_slack"))
 
 
+def at_corner(edges: DataFrame, factor: float, derate: float) -> DataFrame:
+    """Edges at a corner: delays times its factor and its late or early derate."""
+    return edges.withColumn("delay", F.col("delay") * F.lit(float(factor) * float(derate)))
+
+
 def crossings(edges: DataFrame, domains: DataFrame) -> DataFrame:
     """(edge_idx, src, dst, src_domain, dst_domain): edges between two clock domains (node, domain); empty domains don't count."""
     known = domains.filter("domain is not null and domain <> ''")

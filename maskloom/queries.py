@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom import queries_io, queries_polygons
+from maskloom import queries_io, queries_polygons, queries_routing
 from maskloom.functions import geometry as G
 from maskloom.operators import connect, correct, drc, kernels, place, region, spatial, timing
 from maskloom.plans import graph
@@ -500,7 +500,7 @@ def hpwl(spark, sf_dir):
 
 @query("WITH h AS (SELECT net, count(*) AS pins, max(x) - min(x) + max(y) - min(y) AS hpwl FROM net_pins GROUP BY net HAVING count(*) >= 2) SELECT *, CAST(row_number() OVER (ORDER BY hpwl DESC, net) - 1 AS INTEGER) AS place FROM h", "net_pins")
 def net_order(spark, sf_dir):
-    return place.ranked(place.half_perimeters(view(spark, sf_dir, "net_pins")), "hpwl", True)
+    return place.ranked(place.half_perimeters(view(spark, sf_dir, "net_pins")), "hpwl", True).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT net, layer, count(*) AS wires, CAST(sum(hi - lo) AS BIGINT) AS length FROM segments GROUP BY GROUPING SETS ((net), (layer), ())", "segments")
@@ -681,6 +681,6 @@ def negotiated_routes(spark, sf_dir):
     return kernels.region_routes(p, 24, 12)
 
 
-for part in (queries_io, queries_polygons):
+for part in (queries_io, queries_polygons, queries_routing):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

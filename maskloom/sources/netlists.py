@@ -252,6 +252,16 @@ def read_layermap(source: DataFrame) -> DataFrame:
     return line.filter(F.size("w") >= 4).select("path", "line", F.col("w")[0].alias("name"), F.col("w")[1].alias("purpose"), F.col("w")[2].cast("int").alias("layer"), F.col("w")[3].cast("int").alias("datatype"))
 
 
+def write_layermap(entries: DataFrame) -> DataFrame:
+    """(value): lines of a layer map in the order of `line`, from (line, name, purpose, layer, datatype), in columns as wide as their longest."""
+    wide = entries.agg(*[F.greatest(F.coalesce(F.max(F.length(c)), F.lit(0)), F.lit(least)).alias(f"{c}_w") for c, least in (("name", 4), ("purpose", 7))])
+    num = lambda c: F.lpad(F.col(c).cast("string"), F.greatest(F.length(F.col(c).cast("string")), F.lit(3)), F.lit(" "))
+    text = F.concat_ws(" ", F.rpad("name", F.col("name_w"), F.lit(" ")), F.rpad("purpose", F.col("purpose_w"), F.lit(" ")), num("layer"), num("datatype"))
+    lines = entries.withColumn("k", F.lit(0)).join(wide.withColumn("k", F.lit(0)), "k").select(F.col("line").cast("bigint").alias("at"), text.alias("value"))
+    head = entries.sparkSession.createDataFrame([(None, "# name  purpose  layer  datatype")], "at bigint, value string")
+    return head.unionAll(lines).orderBy(F.asc_nulls_first("at")).select("value")
+
+
 # --- CDL ---
 
 
