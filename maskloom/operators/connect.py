@@ -41,10 +41,10 @@ def coupling(rects: DataFrame, reach: int, tile: int = 1024) -> DataFrame:
     return s.groupBy("layer", "a_id", "b_id").agg(F.sum(F.floor(length * 1000 / F.col("dist"))).alias("coupling"))
 
 
-def crosstalk(segments: DataFrame, reach: int, most: int, tile: int = 1024) -> DataFrame:
-    """(layer, a_net, b_net, parallel): wires of two nets on one layer and axis with 0 < distance <= reach, common lengths summed, where over `most`.
+def parallel_wires(segments: DataFrame, reach: int, tile: int = 1024) -> DataFrame:
+    """(layer, axis, a_net, b_net, a_seq, b_seq, lo, hi, a_at, b_at): wires of two nets on one layer and axis with 0 < distance <= reach, and where they run along.
 
-    All pairs of segments count. Wires are dealt by (layer, axis, track strip and tile along it).
+    All pairs of segments count. Wires are dealt by (layer, axis, track strip and tile along it); the tile where the common part begins owns a pair.
     """
     strip = reach + 1
     a = segments.withColumn("k", F.explode(F.array(*[F.floor(F.col("at") / strip) + d for d in (-1, 0, 1)])))
@@ -52,11 +52,29 @@ def crosstalk(segments: DataFrame, reach: int, most: int, tile: int = 1024) -> D
     b = segments.withColumn("k", F.floor(F.col("at") / strip)).withColumn("t", F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor(F.col("hi") / tile))))
     x, y = a.alias("x"), b.alias("y")
     gap = F.abs(F.col("x.at") - F.col("y.at"))
-    common = F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo")
-    own = F.floor(F.greatest("x.lo", "y.lo") / tile) == F.col("x.t")
+    low, high = F.greatest("x.lo", "y.lo"), F.least("x.hi", "y.hi")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("layer", "axis", "k", "t")]
-    met = x.join(y, on, "inner").filter((F.col("x.net") < F.col("y.net")) & (gap > 0) & (gap <= reach) & (common > 0) & own)
-    return met.groupBy(F.col("x.layer").alias("layer"), F.col("x.net").alias("a_net"), F.col("y.net").alias("b_net")).agg(F.sum(common).alias("parallel")).filter(F.col("parallel") > most)
+    met = x.join(y, on, "inner").filter((F.col("x.net") < F.col("y.net")) & (gap > 0) & (gap <= reach) & (high > low) & (F.floor(low / tile) == F.col("x.t")))
+    ends = [F.col(f"{s}.{c}").alias(f"{n}_{c}") for c in ("net", "seq", "at") for s, n in (("x", "a"), ("y", "b"))]
+    return met.select(F.col("x.layer").alias("layer"), F.col("x.axis").alias("axis"), *ends, low.alias("lo"), high.alias("hi"))
+
+
+def crosstalk(segments: DataFrame, reach: int, most: int, tile: int = 1024) -> DataFrame:
+    """(layer, a_net, b_net, parallel): common lengths of wires of two nets within reach, summed, where over `most`."""
+    met = parallel_wires(segments, reach, tile)
+    return met.groupBy("layer", "a_net", "b_net").agg(F.sum(F.col("hi") - F.col("lo")).alias("parallel")).filter(F.col("parallel") > most)
+
+
+def shields(pairs: DataFrame, most: int) -> DataFrame:
+    """(layer, a_seq, b_seq, x0, x1, y): a level wire as long as the common part about the middle between two wires that run along for more than `most`.
+
+    It is level for upright wires too: a mark of where a shield belongs. Halves go towards zero.
+    """
+    half = lambda v: (F.signum(v) * F.floor(F.abs(v) / F.lit(2))).cast("bigint")
+    level = F.col("axis") == "h"
+    along, across, n = half(F.col("lo") + F.col("hi")), half(F.col("a_at") + F.col("b_at")), half(F.col("hi") - F.col("lo"))
+    x, y = F.when(level, along).otherwise(across), F.when(level, across).otherwise(along)
+    return pairs.filter(F.col("hi") - F.col("lo") > most).select("layer", "a_seq", "b_seq", (x - n).alias("x0"), (x + n).alias("x1"), y.alias("y"))
 
 
 def electromigration(segments: DataFrame, currents: DataFrame, limits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.functions import geometry as G
-from maskloom.operators import place, polygons, routing, timing
+from maskloom.operators import connect, place, polygons, routing, timing
 from maskloom.plans.views import view, with_views
 from maskloom.queries_polygons import _EDGES
 from maskloom.sources import netlists
@@ -141,3 +141,14 @@ def layer_map_lines(spark, sf_dir):
     brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("net")).distinct()
     e = place.ranked(brands.withColumn("k", F.lit(0)), "k").select((F.col("place") + 1).alias("line"), F.col("net").alias("name"), F.lit("drawing").alias("purpose"), ((F.col("place") + 1) * 7).alias("layer"), F.lit(0).alias("datatype"))
     return netlists.write_layermap(e)
+
+
+@query(
+    """WITH p AS (SELECT a.layer, a.axis, a.seq AS a_seq, b.seq AS b_seq, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi, (a.at + b.at) // 2 AS m FROM segments a JOIN segments b
+    ON a.layer = b.layer AND a.axis = b.axis AND a.net < b.net AND abs(a.at - b.at) BETWEEN 1 AND 20 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 200), q AS (SELECT *, (lo + hi) // 2 AS c, (hi - lo) // 2 AS n FROM p)
+    SELECT layer, a_seq, b_seq, CASE WHEN axis = 'h' THEN c ELSE m END - n AS x0, CASE WHEN axis = 'h' THEN c ELSE m END + n AS x1, CASE WHEN axis = 'h' THEN m ELSE c END AS y FROM q""",
+    "segments",
+)
+def shields(spark, sf_dir):
+    """Shield marks between wires that run along each other for more than 200."""
+    return connect.shields(connect.parallel_wires(view(spark, sf_dir, "segments"), 20), 200)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import geometry as G
-from maskloom.operators import place, routing
+from maskloom.operators import connect, place, routing
 from maskloom.sources import netlists
 
 SEGMENTS = "net string, pos int, layer int, to_layer int, length bigint"
@@ -84,3 +84,12 @@ def test_layer_map_comes_back(spark):
     back = netlists.read_layermap(spark.createDataFrame([("f", "\n".join(lines))], "path string, value string"))
     assert [tuple(r) for r in back.orderBy("line").select("line", "name", "purpose", "layer", "datatype").collect()] == rows
     assert [r.value for r in netlists.write_layermap(df.limit(0)).collect()] == lines[:1]
+
+
+def test_shields_lie_between(spark):
+    rows = [(1, 1, 0, "h", 0, -101, 101), (2, 2, 0, "h", 3, -50, 2000), (2, 3, 0, "h", 30, -50, 2000), (1, 4, 0, "v", 10, 0, 90), (3, 5, 0, "v", 15, 10, 95), (3, 6, 1, "h", 3, 0, 900), (1, 7, 0, "h", 4, 0, 900)]
+    s = spark.createDataFrame(rows, "net int, seq int, layer int, axis string, at bigint, lo bigint, hi bigint")
+    for tile in (16, 5000):
+        got = {tuple(r) for r in connect.shields(connect.parallel_wires(s, 5, tile), 60).collect()}
+        assert got == {(0, 1, 2, -50, 100, 1), (0, 4, 5, -28, 52, 50), (0, 7, 2, 0, 900, 3)}
+    assert connect.shields(connect.parallel_wires(s, 5), 900).isEmpty()
