@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def release() -> None:
+    """Hands the memory that this process has freed back to the system: Arrow's pool and the allocator keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that releases memory once its task has ended, as idle workers stay for later tasks beside the JVM."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     """Parts of a batch with about `most` bytes of the column each; a longer value is a part of its own."""
     if not batch.num_rows:

@@ -19,7 +19,9 @@ from maskloom.llm import common
 
 END_ID = 1
 #: Units between white space whose ids a worker keeps; the store is emptied when it is full.
-KEPT = 400_000
+KEPT = 200_000
+#: Bytes of text that are encoded at once, of texts that go through the tokenizer as a whole at once, and of ids that are cut at once.
+ENCODED, WHOLE, CUT = 2 << 20, 1 << 18, 1 << 20
 
 # How the word vocabulary splits lower-cased text, for characters up to U+017F, and the letters of its bytes.
 _L = "a-zªµºß-öø-ſ"
@@ -82,12 +84,12 @@ class WordEncoder:
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
         coded = lists.flatten().dictionary_encode()
         units, known = coded.dictionary.to_pylist(), self.known
-        if len(known) > KEPT:
-            known.clear()
-            self.ends.clear()
         each = list(map(known.get, units))
         for i, x in enumerate(each):
             if x is None:
+                if len(known) >= KEPT - 1:  # a unit and its core
+                    known.clear()
+                    self.ends.clear()
                 each[i] = known[units[i]] = self._unit(units[i])
         each.append(np.uint32(END_ID).tobytes())
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -114,8 +116,8 @@ class WordEncoder:
             finally:
                 if collects:
                     gc.enable()
-        if whole:
-            for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        for some in common.slices(pa.record_batch([pa.array(whole, pa.int64()), pa.array([texts[i] for i in whole], pa.large_string())], ["i", "t"]), "t", WHOLE):
+            for i, e in zip(common.column(some, "i").to_pylist(), self.tokenizer.encode_batch(common.column(some, "t").to_pylist(), add_special_tokens=False), strict=True):
                 out[i] = np.array([*e.ids, END_ID], np.uint32)
         return out
 
@@ -126,7 +128,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     def run(batches):
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in common.slices(batch, "t", 6 << 20):
+            for piece in common.slices(batch, "t", ENCODED):
                 ids = encode(common.column(piece, "t").to_pylist())
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n
@@ -136,7 +138,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(starts), common.column(piece, id_col), pa.array(n), pa.array(small, pa.binary())], ["part", "before", id_col, "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), common.text_of(text_col).alias("t")).mapInArrow(run, f"part int, before bigint, `{id_col}` {kind}, n bigint, ids binary")
+    return docs.select(F.col(id_col), common.text_of(text_col).alias("t")).mapInArrow(common.released(run), f"part int, before bigint, `{id_col}` {kind}, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, size: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +160,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, id_col: str
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, "ids", 8 << 20):
+            for part in common.slices(batch, "ids", CUT):
                 raw, off = common.utf8(common.column(part, "ids"))
                 at, n = (common.column(part, c).to_numpy() for c in ("at", "n"))
                 count = (at + n - 1) // size - at // size + 1
@@ -178,7 +180,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, id_col: str
                 yield pa.RecordBatch.from_arrays([common.column(part, id_col).take(pa.array(row)), *made], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return placed.mapInArrow(common.released(run), f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

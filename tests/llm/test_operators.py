@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 import tempfile
 import textwrap
 import zlib
@@ -304,6 +306,35 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def grown(code):
+    """MB by which the peak and the resident memory of a process grow while it runs code; what stands before a line of # is not counted."""
+    before, after = code.split("#\n")
+    status = "[int(re.search(k + r':\\s+(\\d+)', open('/proc/self/status').read())[1]) // 1024 for k in ('VmHWM', 'VmRSS')]"
+    run = f"import re\n{before}x = {status}\n{after}y = {status}\nprint(y[0] - x[0], y[1] - x[1])"
+    return list(map(int, subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True, timeout=120).stdout.split()))
+
+
+def test_packing_memory_of_whole_texts():
+    code = """
+from maskloom.llm import packing
+encode = packing.encoder(packing.word_path())
+texts = ["".join(chr(0x4E00 + (i * 7919 + j * 104729) % 20000) + " " * (j % 6 == 5) for j in range(1800)) for i in range(800)]
+#
+ids = encode(texts)
+assert len(ids) == 800
+"""
+    assert grown(code)[0] < 300
+
+
+def test_packing_store_of_units(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 1000)
+    encode = packing.WordEncoder(packing.word_path())
+    texts = [" ".join(f"w{i}x{j}" + "." * (j % 2) for j in range(500)) for i in range(10)]
+    ids = encode(texts)
+    assert [x[:-1].tolist() for x in ids] == [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(encode.known) <= 1000
+
+
 # --- near-duplicates ---
 
 
