@@ -95,18 +95,22 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return whole
 
 
+def blocks(off: np.ndarray, most: int = CHUNK_BYTES):
+    """Ranges (from, to) of rows with about `most` units each, by the rows' offsets; a longer row is a range of its own."""
+    at = 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     """Parts of a batch with about `most` bytes of the column each; a longer value is a part of its own."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
+    for a, b in blocks(np.concatenate([[0], np.cumsum(sizes)]), most):
+        yield batch.slice(a, b - a)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +192,15 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit values of the k-word shingles of each row (A-Z lower-cased), and their row offsets.
 
-    A row of fewer words has its whole word sequence as its one shingle; a row without words has none.
+    A row of fewer words has its whole word sequence as its one shingle; a row without words has none. Rows are
+    taken about CHUNK_BYTES at a time, as hashing takes many times a text's bytes.
     """
+    parts = [_shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], k) for a, b in blocks(off)]
+    return np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in parts]]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]]))])
+
+
+def _shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and the size of each row's set."""
     low = LOWER[raw]
     s, e, first = words(low, off)
     sets, sizes = [], np.zeros(len(off) - 1, np.int64)
@@ -213,7 +224,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
                 continue
             sets.append(own)
             sizes[row] = len(own)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
 def minhashes(values: np.ndarray, off: np.ndarray, t: int, seed: int = 1) -> np.ndarray:
@@ -222,11 +233,12 @@ def minhashes(values: np.ndarray, off: np.ndarray, t: int, seed: int = 1) -> np.
     a = rng.integers(1 << 62, size=t, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(1 << 63, size=t, dtype=np.uint64)
     out = np.full((len(off) - 1, t), 0xFFFFFFFF, np.uint32)
-    some = np.flatnonzero(off[1:] > off[:-1])
-    if len(some):
-        at = off[:-1][some]
-        for i in range(t):
-            out[some, i] = np.minimum.reduceat(((values ^ b[i]) * a[i]) >> np.uint64(32), at).astype(np.uint32)
+    for x, y in blocks(off):
+        some = x + np.flatnonzero(off[x + 1 : y + 1] > off[x:y])
+        if len(some):
+            own, at = values[off[x] : off[y]], off[some] - off[x]
+            for i in range(t):
+                out[some, i] = np.minimum.reduceat(((own ^ b[i]) * a[i]) >> np.uint64(32), at).astype(np.uint32)
     return out
 
 

@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     schema = T.StructType([T.StructField(f"__k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("__h", T.BooleanType()), T.StructField("__p", T.StringType()), T.StructField("__s", T.DoubleType())])
     chosen = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
-    made = docs.select(*chosen, held_out(id_col).alias("__h"), F.col(text_col).cast("string").alias("__t")).mapInArrow(run, schema)
+    made = docs.select(*chosen, held_out(id_col).alias("__h"), F.col(text_col).cast("string").alias("__t")).mapInArrow(common.released(run), schema)
     return made.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__h").alias("held_out"), F.col("__p").alias("lang_pred"), F.col("__s").alias("score"))
 
 

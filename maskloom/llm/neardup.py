@@ -52,7 +52,7 @@ def sets_of(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 made = [pa.array(n), pa.array([p.tobytes() if k else None for p, k in zip(prints, ok, strict=True)], pa.binary()), *[pa.array([s.tobytes() if k else None for s, k in zip(x, ok, strict=True)], pa.binary()) for x in (sig, sig.astype(np.uint8))]]
                 yield pa.RecordBatch.from_arrays([common.column(part, "id"), *made], ["id", "n", "print", "sig", "short"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t")).mapInArrow(run, "id bigint, n bigint, print binary, sig binary, short binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("t")).mapInArrow(common.released(run), "id bigint, n bigint, print binary, sig binary, short binary")
 
 
 def _signatures(col, kind: type = np.uint32) -> np.ndarray:
@@ -92,7 +92,7 @@ def _paths(reps: DataFrame, depth: int, trees: int) -> DataFrame:
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(ids[np.concatenate(rows)])], ["node", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "node bigint, id bigint")
+    return reps.select("id", "sig").mapInArrow(common.released(run), "node bigint, id bigint")
 
 
 def _groups_of(batches, key: str, bytes_col: str | None = None):
@@ -176,7 +176,7 @@ def _node_links(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     n = common.partitions(rows.sparkSession)
-    return rows.select("node", "id", "short").repartition(n, "node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "id", "short").repartition(n, "node").sortWithinPartitions("node", "id").mapInArrow(common.released(run), "a bigint, b bigint")
 
 
 def _agreement(threshold: float) -> int:
@@ -298,7 +298,7 @@ def _confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
     n = common.partitions(rows.sparkSession)
-    return rows.select("grp", "side", "id", "t").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("grp", "side", "id", "t").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(common.released(run), "a bigint, b bigint")
 
 
 def clusters(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

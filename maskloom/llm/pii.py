@@ -501,7 +501,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select(F.col(id_col), common.text_of(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string, redacted_text string")
+    return docs.select(F.col(id_col), common.text_of(text_col).alias("t")).mapInArrow(common.released(run), f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string, redacted_text string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", model: Tagger | None = None) -> DataFrame:
@@ -521,4 +521,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
                     made[length_col] = pa.array([o.as_py() if c == t else len(c) for o, c, t in zip(old, clean, texts, strict=True)], old.type)
                 yield pa.RecordBatch.from_arrays([made.get(n, common.column(part, n)) for n in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)

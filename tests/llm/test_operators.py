@@ -326,6 +326,49 @@ assert len(ids) == 800
     assert grown(code)[0] < 300
 
 
+def test_shingles_memory():
+    """A group to confirm may have 48 MB."""
+    code = """
+import numpy as np
+from maskloom.llm import common
+raw, off = np.tile(np.frombuffer(b"some words ", np.uint8), 2_000_000), np.arange(0, 22_000_001, 11_000)
+#
+values, at = common.shingle_sets(raw, off, 5)
+assert np.diff(at).tolist() == [2] * 2000
+sig = common.minhashes(values, at, 4)
+"""
+    assert grown(code)[0] < 300
+
+
+def test_shingles_in_blocks(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))).encode() for _ in range(200)]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    want, at = common.shingle_sets(raw, off, 3)
+    sig = common.minhashes(want, at, 8)
+    monkeypatch.setattr(common.blocks, "__defaults__", (64,))
+    got, upto = common.shingle_sets(raw, off, 3)
+    assert (got == want).all() and (upto == at).all() and (common.minhashes(got, upto, 8) == sig).all()
+    assert common.shingle_sets(raw[:0], off[:1], 3)[1].tolist() == [0]
+
+
+def test_workers_release_memory():
+    code = """
+from maskloom.llm import common
+def run(batches):
+    held = [bytes(1000 + i % 7) for i in range(300_000)]
+    last = held[-1]
+    del held
+    kept.append(last)
+    yield from batches
+kept = []
+#
+assert list(common.released(run)(iter([1, 2]))) == [1, 2]
+"""
+    peak, left = grown(code)
+    assert peak > 250 and left < 100
+
+
 def test_packing_store_of_units(monkeypatch):
     monkeypatch.setattr(packing, "KEPT", 1000)
     encode = packing.WordEncoder(packing.word_path())
