@@ -81,6 +81,22 @@ def test_boolean_covers_exactly(spark, keep, test):
     assert set(cover) == {(x, y) for x in range(-25, 40) for y in range(-25, 40) if test(inside(ra, x, y), inside(rb, x, y))}
 
 
+def test_crowded_tiles_stay_small(spark):
+    """Many rectangles over each other make rows by the area of a tile, not by the square of their number; a tile's rows may come in many batches."""
+    rng = random.Random(6)
+    rows = [(f"r{i % 2}" if i % 50 else None, x, y, x + rng.randint(1, 9), y + rng.randint(1, 9)) for i, (x, y) in enumerate((rng.randrange(-20, 40), rng.randrange(-20, 40)) for _ in range(3000))]
+    a = spark.createDataFrame(rows, "rule string, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    out = region.merged(a, ["rule"], 64).collect()
+    want = {(r[0], x, y) for r in rows if r[0] for x in range(r[1], r[3]) for y in range(r[2], r[4])}
+    got = [(r.rule, x, y) for r in out for x in range(r.x0, r.x1) for y in range(r.y0, r.y1)]
+    assert len(got) == len(set(got)) and set(got) == want and len(out) < 1000
+    held = region._sweep(region.UNION, [], region.to_arrow_schema(a.select("x0", "y0", "x1", "y1").schema), 8)
+    at = lambda r: {"tx": [0], "ty": [0], "side": [0], **{c: [v] for c, v in zip(("x0", "y0", "x1", "y1"), r, strict=True)}}
+    boxes_ = [(i, 0, i + 2, 5) for i in range(40)]
+    made = [b.to_pylist() for b in held(region.pa.RecordBatch.from_pydict(at(r)) for r in boxes_)]
+    assert made == [[{"x0": 0, "y0": 0, "x1": 41, "y1": 5}]]
+
+
 def test_grow_then_shrink_gives_a_box_back(spark):
     a = spark.createDataFrame([(0, 0, 10, 7), (30, 3, 50, 9)], "x0 bigint, y0 bigint, x1 bigint, y1 bigint")
     back = region.shrunk(region.sized(a, 4, tile=8), 4, tile=8)
