@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +18,23 @@ class TextFormatError(ValueError):
 def _rows(files: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]
 
+    def frame(rows):
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
     def run(batches):
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                rows = []
                 try:
-                    rows = [{"path": path, **r} for r in parse(text)]
+                    for r in parse(text):
+                        rows.append({"path": path, **r})
+                        if len(rows) == 5000:
+                            yield frame(rows)
+                            rows = []
                 except (ValueError, IndexError, StopIteration) as e:
                     raise TextFormatError(f"{path}: {e}") from e
                 if rows:
-                    yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+                    yield frame(rows)
 
     return files.select("path", "value").mapInPandas(run, schema)
 
@@ -35,6 +44,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _lines(text: str) -> Iterator[str]:
+    """The stripped lines of a text one after the other, without a list of them all."""
+    return (m[0].strip() for m in re.finditer(r"[^\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+", text))
+
+
 # --- SPEF ---
 
 SPEF = "path string, design string, net string, total_cap double, resistance double, connections array<string>, coupling array<struct<net:string,cap:double>>"
@@ -47,7 +61,7 @@ def parse_spef(text: str) -> Iterator[dict]:
     design, net, mapped = "", None, False
     real = lambda v: lookup(v.split(":")[0])
     lookup = lambda v: names.get(v, f"net_{v[1:]}") if v.startswith("*") else v
-    for line in map(str.strip, text.splitlines()):
+    for line in _lines(text):
         word = line.split()
         if not word:
             continue
@@ -206,8 +220,8 @@ def parse_def(text: str) -> Iterator[dict]:
         yield {"design": design, "kind": "die", "name": str(i), "x": int(x), "y": int(y)}
     for section, kind in (("COMPONENTS", "component"), ("NETS", "net")):
         found = re.search(rf"(?<!SPECIAL)\b{section}\s+\d+\s*;(.*?)\bEND\s+{section}\b", text, re.DOTALL)
-        for item in re.findall(r"-\s+(\S+)\s+([^;]*);", found[1]) if found else []:
-            name, rest = item
+        for item in re.finditer(r"-\s+(\S+)\s+([^;]*);", found[1]) if found else ():
+            name, rest = item.groups()
             if kind == "component":
                 place = re.search(r"\+\s*(?:PLACED|FIXED)\s*\(\s*(-?\d+)\s+(-?\d+)\s*\)\s*(\S+)", rest)
                 yield {"design": design, "kind": kind, "name": name, "master": rest.split()[0], "x": int(place[1]) if place else None, "y": int(place[2]) if place else None, "orient": place[3] if place else None}
@@ -216,15 +230,50 @@ def parse_def(text: str) -> Iterator[dict]:
                 yield {"design": design, "kind": kind, "name": name, "pins": [f"{a}:{b}" for a, b in re.findall(r"\(\s*(\S+)\s+(\S+)\s*\)", head)]}
 
 
+_NAMES = "(?:COMPONENTS|NETS|SPECIALNETS|PINS|VIAS|BLOCKAGES)"
+_SECTION = rf"(?:^|\s)(END\s+{_NAMES}\b|{_NAMES}(?=\s+\d+\s*;))"
+
+
 def read_def(source: DataFrame) -> DataFrame:
-    return _rows(source, parse_def, DEF)
+    """Rows of DEF files (path, value), or of files that come in pieces (path, part, value), which end between two statements.
+
+    Of pieces only the section that each ends in is looked at across a file; its design is named in its first piece.
+    """
+    if "part" not in source.columns:
+        return _rows(source, parse_def, DEF)
+    words = F.regexp_extract_all("value", F.lit(_SECTION), F.lit(1))
+    ends = source.select("path", "part", F.try_element_at(words, F.lit(-1)).alias("last"), F.regexp_extract("value", r"\bDESIGN\s+(\S+)\s*;", 1).alias("design"))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    state = ends.select("path", "part", F.last("last", True).over(before).alias("open"), F.first(F.when(F.col("design") != "", F.col("design")), True).over(before).alias("named"))
+    held = source.join(state, ["path", "part"])
+    # a piece is read as a file of its own, with the head that its place calls for
+    name = F.when(F.col("open").rlike("^(COMPONENTS|NETS)$"), F.col("open"))
+    head = F.concat(F.coalesce(F.concat(F.lit("DESIGN "), "named", F.lit(" ;\n")), F.lit("")), F.coalesce(F.concat(name, F.lit(" 0 ;\n")), F.lit("")))
+    inside = F.coalesce(F.try_element_at(words, F.lit(-1)), "open")
+    tail = F.when(inside.rlike("^(COMPONENTS|NETS)$"), F.concat(F.lit("\nEND "), inside, F.lit("\n"))).otherwise(F.lit(""))
+    return _rows(held.select("path", F.concat(head, "value", tail).alias("value")), parse_def, DEF)
 
 
 def write_def(components: DataFrame, design: str) -> DataFrame:
-    """(path, value): DEF text of components (name, master, x, y, orient), in the order of names."""
+    """(path, part, value): DEF text of components (name, master, x, y, orient), in the order of names; its pieces in the order of part are the file.
+
+    Names are dealt by ranges, and each batch of rows is a piece, so that no row holds the whole file.
+    """
     line = F.concat(F.lit("- "), F.col("name"), F.lit(" "), F.col("master"), F.lit(" + PLACED ( "), F.col("x"), F.lit(" "), F.col("y"), F.lit(" ) "), F.col("orient"), F.lit(" ;"))
-    all_ = components.agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("s"))
-    return all_.select(F.lit(design).alias("path"), F.concat(F.lit(f"VERSION 5.7 ;\nDESIGN {design} ;\nUNITS DISTANCE MICRONS 1000 ;\n\nCOMPONENTS "), F.size("s"), F.lit(" ;\n"), F.array_join(F.col("s.line"), "\n"), F.lit("\nEND COMPONENTS\n\nEND DESIGN\n")).alias("value"))
+    n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = components.select("name", line.alias("line")).repartitionByRange(n, "name").sortWithinPartitions("name", "line").withColumn("p", F.spark_partition_id())
+
+    def run(batches):
+        for i, b in enumerate(batches):
+            text = [t for t in b.column("line").to_pylist() if t is not None]
+            if text:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([((b.column("p")[0].as_py() + 1) << 32) + i], pa.int64()), "value": ["\n".join([*text, ""])]})
+
+    body = lines.mapInArrow(run, "part bigint, value string")
+    head = F.concat(F.lit(f"VERSION 5.7 ;\nDESIGN {design} ;\nUNITS DISTANCE MICRONS 1000 ;\n\nCOMPONENTS "), F.count("*"), F.lit(" ;\n"))
+    first = components.agg(head.alias("value")).select(F.lit(0).cast("bigint").alias("part"), "value")
+    last = components.sparkSession.createDataFrame([((1 << 62), "END COMPONENTS\n\nEND DESIGN\n")], "part bigint, value string")
+    return first.unionByName(body).unionByName(last).select(F.lit(design).alias("path"), "part", "value")
 
 
 # --- SDF and layer maps ---

@@ -180,3 +180,21 @@ def test_markup(spark):
     root = ET.fromstring("\n".join(r.value for r in markup.write_report(rules, found, "a&b").collect()))
     assert [c.text for c in root.findall("categories/category/name")] == ["w<1", "s"] and root.findtext("top-cell") == "a&b"
     assert [(i.findtext("category"), i.findtext("values/value")) for i in root.findall("items/item")] == [("w<1", "polygon: (0,0;0,5;3,5)")]
+
+
+def test_def_comes_in_pieces(spark):
+    """A written DEF is no single row, its pieces make up the file that its reader takes whole too, and pieces that begin within a section are read as such."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f"U{i}", f"W{i % 3}", i * 5 - 20, i % 4, "N") for i in range(100)]
+        pieces = netlists.write_def(spark.createDataFrame(rows, "name string, master string, x bigint, y bigint, orient string"), "top")
+        text = "".join(r.value for r in pieces.orderBy("part").collect())
+        assert pieces.count() > 10 and "COMPONENTS 100 ;" in text and text.count("\n- ") == 100
+        assert [x.split()[1] for x in text.splitlines() if x.startswith("- ")] == sorted(r[0] for r in rows)
+        for source in (pieces, texts(spark, text)):
+            assert sorted((r.name, r.master, r.x, r.y, r.orient) for r in netlists.read_def(source).collect()) == sorted(rows)
+        cut = ["DESIGN d ;\nCOMPONENTS 2 ;\n- a M + PLACED ( 1 2 ) N ;\n", "- b M + PLACED ( 3 4 ) S ;\nEND COMPONENTS\nSPECIALNETS 1 ;\n- vdd ( * v ) ;\n", "- vss ( * v ) ;\nEND SPECIALNETS\nNETS 2 ;\n- n1 ( a x ) ;\n", "- n2 ( b y ) ;\n", "END NETS\nEND DESIGN\n"]
+        got = netlists.read_def(spark.createDataFrame([("f", i, v) for i, v in enumerate(cut)], "path string, part bigint, value string")).collect()
+        assert sorted((r.design, r.kind, r.name) for r in got) == [("d", "component", "a"), ("d", "component", "b"), ("d", "net", "n1"), ("d", "net", "n2")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
