@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskloom import queries as Q
 from maskloom.functions import geometry as G
-from maskloom.operators import kernels, place, region, spatial, timing
+from maskloom.operators import connect, kernels, place, region, spatial, timing
 from maskloom.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,43 @@ def test_boolean_covers_exactly(spark, keep, test):
     assert set(cover) == {(x, y) for x in range(-25, 40) for y in range(-25, 40) if test(inside(ra, x, y), inside(rb, x, y))}
 
 
+@pytest.mark.parametrize("corners", [True, False])
+def test_links_connect_what_touches(spark, corners):
+    """Links of crowded boxes, some without area, are no more than boxes in tiles, and connect what pairs of touching boxes do."""
+    rng = random.Random(8)
+    rows = [(i, i % 2, x, y, x + rng.choice((0, 1, 3, 9)), y + rng.choice((0, 1, 2, 7))) for i, (x, y) in enumerate((rng.randrange(-30, 60), rng.randrange(-30, 60)) for _ in range(400))]
+    rows += [(1000 + i, 5, i % 4, i % 3, 20 + i % 4, 20) for i in range(200)]
+    r = spark.createDataFrame(rows, "id bigint, layer int, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    root = {p[0]: p[0] for p in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for p in rows:
+        for q in rows:
+            x, y = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+            if p[1] == q[1] and p[0] < q[0] and x >= 0 and y >= 0 and (corners or x > 0 or y > 0):
+                a, b = sorted((find(p[0]), find(q[0])))
+                root[b] = a
+    made = spatial.links(r, ["layer"], corners, 16)
+    assert made.filter("a >= 1000").count() <= 200 * 4
+    got = {x.node: x.comp for x in graph.components(made).collect()}
+    assert {p[0]: got.get(p[0], p[0]) for p in rows} == {p[0]: find(p[0]) for p in rows}
+
+
+def test_coupling_is_not_dealt_again(spark):
+    """Pairs are summed where they meet; rectangles that share an id are summed together."""
+    rows = [(1, 0, 0, 0, 10, 10), (2, 0, 15, 0, 20, 10), (3, 0, 0, 14, 10, 20)]
+    r = lambda more: spark.createDataFrame(rows + more, "id bigint, layer int, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    got = lambda df: {(x.a_id, x.b_id): x.coupling for x in df.collect()}
+    once = connect.coupling(r([]), 8)
+    assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString()
+    assert got(once) == {(1, 2): 2000, (1, 3): 2500}
+    assert got(connect.coupling(r([(2, 0, -8, 0, -4, 10)]), 8)) == {(1, 2): 4500, (1, 3): 2500}
+
+
 def test_crowded_tiles_stay_small(spark):
     """Many rectangles over each other make rows by the area of a tile, not by the square of their number; a tile's rows may come in many batches."""
     rng = random.Random(6)
