@@ -350,5 +350,6 @@ def lookup_table(body: Column) -> Column:
 
 def table_at(body: Column, slew: Column, load: Column) -> Column:
     """The value of a timing table's text at (slew, load); null without a table."""
-    t = lookup_table(body)
-    return F.when(body.isNotNull(), bilinear(t["index_1"], t["index_2"], t["values"], slew, load))
+    # the table is bound once: each use of its columns would read the text again
+    value = F.transform(F.array(lookup_table(body)), lambda t: bilinear(t["index_1"], t["index_2"], t["values"], slew, load))
+    return F.when(body.isNotNull(), F.get(value, F.lit(0)))

@@ -105,7 +105,7 @@ def polygon_issues(spark, sf_dir):
 )
 def liberty_tables(spark, sf_dir):
     """Delays from the texts of timing tables, one each part, at its slew and load."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file is one task, its texts are much work
     text = F.format_string('{ index_1 ("1, %d");\n index_2 ("2.5, 10"); values ( "0.5, 1.25", \\\n "%d, 3.0e2" ); }', (F.col("p_size") + 1).cast("bigint"), (F.col("p_size") + 1).cast("bigint"))
     at = G.table_at(text, (F.col("p_partkey") % 90).cast("double"), (F.col("p_partkey") % 17).cast("double"))
     return p.select(F.col("p_partkey").alias("id"), F.round(at * 1000).cast("bigint").alias("delay"))

@@ -190,3 +190,10 @@ def test_routes_get_all_rounds(spark):
         rows = [(0, i, *[rng.randrange(6) for _ in range(4)]) for i in range(n)]
         got = kernels.region_routes(spark.createDataFrame(rows, "region bigint, net bigint, sx bigint, sy bigint, tx bigint, ty bigint"), 6, 4).first()
         assert got.nets == n and got.overflow == 0
+
+
+def test_table_text_is_read_once(spark):
+    df = spark.createDataFrame([('index_1 ("1, 3"); index_2 ("2, 4"); values ("1, 2", "3, 4");', 2.0, 3.0), (None, 2.0, 3.0)], "t string, s double, l double")
+    out = df.select(G.table_at(F.col("t"), F.col("s"), F.col("l")).alias("v"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") <= 12
+    assert [r.v for r in out.collect()] == [2.5, None]
