@@ -560,7 +560,7 @@ def power_stripes(spark, sf_dir):
 
 @query()
 def spanning_trees(spark, sf_dir):
-    return place.spanning_length(view(spark, sf_dir, "net_pins"))
+    return trees.spanning_lengths(view(spark, sf_dir, "net_pins"))
 
 
 @query()
