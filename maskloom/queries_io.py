@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskloom.plans.tables import materialize
 from maskloom.plans.views import view, with_views
 from maskloom.sources import layout, markup, netlists
 
@@ -62,7 +63,7 @@ def mag_round_trip(spark, sf_dir):
 def spef_round_trip(spark, sf_dir):
     nets = view(spark, sf_dir, "net_pins").groupBy("net").agg(F.count("*").cast("double").alias("total_cap"), F.collect_list(F.concat(F.lit("P"), F.col("pin"), F.lit(":A"))).alias("connections"))
     nets = nets.select(F.concat(F.lit("n"), F.col("net")).alias("net"), "total_cap", (F.col("net") % 7).cast("double").alias("resistance"), "connections", (F.col("net") % 8).alias("part"))
-    back = netlists.read_spef(netlists.write_spef(nets, "top", "part"))
+    back = netlists.read_spef(materialize(netlists.write_spef(nets, "top", "part"), "files"))
     return back.select("net", "total_cap", "resistance", F.size("connections").cast("bigint").alias("pins"), F.array_min("connections").alias("first_pin"))
 
 

@@ -15,7 +15,7 @@ class TextFormatError(ValueError):
     """The file does not follow its format."""
 
 
-def _rows(files: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
+def _rows(files: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]
 
     def frame(rows):
@@ -23,11 +23,11 @@ def _rows(files: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str)
 
     def run(batches):
         for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["value"], strict=True):
-                rows = []
+            for *key, text in zip(*[pdf[k] for k in keys], pdf["value"], strict=True):
+                rows, path = [], key[0]
                 try:
                     for r in parse(text):
-                        rows.append({"path": path, **r})
+                        rows.append({**dict(zip(keys, key, strict=True)), **r})
                         if len(rows) == 5000:
                             yield frame(rows)
                             rows = []
@@ -36,7 +36,7 @@ def _rows(files: DataFrame, parse: Callable[[str], Iterator[dict]], schema: str)
                 if rows:
                     yield frame(rows)
 
-    return files.select("path", "value").mapInPandas(run, schema)
+    return files.select(*keys, "value").mapInPandas(run, schema)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -54,13 +54,13 @@ def _lines(text: str) -> Iterator[str]:
 SPEF = "path string, design string, net string, total_cap double, resistance double, connections array<string>, coupling array<struct<net:string,cap:double>>"
 
 
-def parse_spef(text: str) -> Iterator[dict]:
+def parse_spef(text: str, whole: bool = True) -> Iterator[dict]:
     """Nets with their lumped values. Of capacitor rows only those with a ground node first and another net second count, as coupling;
-    other rows of four fields add to the resistance."""
+    other rows of four fields add to the resistance. Of a piece of a file nets keep the numbers that stand for names."""
     names: dict[str, str] = {}
     design, net, mapped = "", None, False
     real = lambda v: lookup(v.split(":")[0])
-    lookup = lambda v: names.get(v, f"net_{v[1:]}") if v.startswith("*") else v
+    lookup = lambda v: names.get(v, f"net_{v[1:]}") if whole and v.startswith("*") else v
     for line in _lines(text):
         word = line.split()
         if not word:
@@ -91,20 +91,72 @@ def parse_spef(text: str) -> Iterator[dict]:
         yield net
 
 
-def read_spef(source: DataFrame) -> DataFrame:
-    return _rows(source, parse_spef, SPEF)
+def _spef_names(text: str) -> Iterator[dict]:
+    mapped = False
+    for n, line in enumerate(_lines(text)):
+        word = line.split()
+        if word and word[0] in ("*NAME_MAP", "*D_NET"):
+            mapped = word[0] == "*NAME_MAP"
+        elif mapped and line[:1] == "*" and len(word) > 1 and word[0] not in ("*DESIGN", "*END"):
+            yield {"at": n, "id": word[0], "name": word[1]}
+
 
+def _spef_nets(text: str) -> Iterator[dict]:
+    for n, r in enumerate(parse_spef(text, False)):
+        yield {"at": n, **r}
+
+
+def read_spef(source: DataFrame) -> DataFrame:
+    """Nets of SPEF files (path, value), or of files that come in pieces (path, part, value), which end between two lines and outside of nets.
 
-def write_spef(nets: DataFrame, design: str, group: str | None = None) -> DataFrame:
-    """(value): SPEF text of nets (net, total_cap, resistance, connections), one row for each group; ids follow the order of names."""
-    key = F.col(group) if group else F.lit("all")
-    df = nets.withColumn("k", key).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("net")))
+    Names of a file's map, which is in other pieces than the nets, meet them by a join; a net is named after its place in the file or not at all,
+    so the map must come first.
+    """
+    if "part" not in source.columns:
+        return _rows(source, parse_spef, SPEF)
+    words = F.regexp_extract_all("value", F.lit(r"(?m)^\s*\*(NAME_MAP|D_NET)\b"), F.lit(1))
+    ends = source.select("path", F.col("part").cast("bigint").alias("part"), F.try_element_at(words, F.lit(-1)).alias("last"), F.regexp_extract("value", r'(?m)^\s*\*DESIGN([^\n]*)', 1).alias("design"))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    state = ends.select("path", "part", F.last("last", True).over(before).alias("open"), F.last(F.when(F.col("design") != "", F.col("design")), True).over(before).alias("named"))
+    # a piece is read as a file of its own, with the head that its place calls for
+    head = F.concat(F.coalesce(F.concat(F.lit("*DESIGN"), "named", F.lit("\n")), F.lit("")), F.when(F.col("open") == "NAME_MAP", "*NAME_MAP\n").otherwise(""))
+    held = source.withColumn("part", F.col("part").cast("bigint")).join(state, ["path", "part"]).select("path", "part", F.concat(head, "value").alias("value"))
+    names = _rows(held, _spef_names, "path string, part bigint, at bigint, id string, name string", ("path", "part"))
+    names = names.groupBy("path", "id").agg(F.max_by("name", F.struct("part", "at")).alias("name"))
+    nets = _rows(held, _spef_nets, SPEF.replace("path string", "path string, part bigint, at bigint"), ("path", "part"))
+    named = lambda c: F.coalesce("name", F.when(F.col(c).startswith("*"), F.concat(F.lit("net_"), F.substr(c, F.lit(2)))).otherwise(F.col(c)))
+    pairs = nets.filter(F.size("coupling") > 0).select("path", "part", "at", F.posexplode("coupling").alias("i", "c")).select("path", "part", "at", "i", F.col("c.net").alias("id"), "c.cap")
+    pairs = pairs.join(names, ["path", "id"], "left").groupBy("path", "part", "at").agg(F.array_sort(F.collect_list(F.struct("i", named("id").alias("net"), "cap"))).alias("met"))
+    out = nets.withColumnRenamed("net", "id").join(names, ["path", "id"], "left").withColumn("net", named("id")).join(pairs, ["path", "part", "at"], "left")
+    met = F.transform("met", lambda m: F.struct(m["net"].alias("net"), m["cap"].alias("cap")))
+    return out.withColumn("coupling", F.coalesce(met, F.col("coupling"))).select("path", "design", "net", "total_cap", "resistance", "connections", "coupling")
+
+
+def write_spef(nets: DataFrame, design: str, group: str | None = None, most: int = 2000) -> DataFrame:
+    """(path, part, value): SPEF text of nets (net, total_cap, resistance, connections), one file for each group, whose pieces in the order of part are the file; ids
+    follow the order of names.
+
+    A piece has at most `most` nets, so that no row holds the whole file.
+    """
+    key = F.col(group).cast("string") if group else F.lit("all")
+    df = nets.withColumn("k", key).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("net")).cast("bigint"))
     pins = F.array_join(F.transform("connections", lambda c: F.concat(F.lit("*I "), c, F.lit(" I\n"))), "")
-    block = F.concat(F.lit("*D_NET *"), F.col("i"), F.lit(" "), F.col("total_cap"), F.lit("\n*CONN\n"), pins, F.lit("*RES\n1 *"), F.col("i"), F.lit(":1 *"), F.col("i"), F.lit(":2 "), F.col("resistance"), F.lit("\n*END\n"))
-    df = df.withColumn("s", F.struct("i", F.concat(F.lit("*"), F.col("i"), F.lit(" "), F.col("net")).alias("name"), block.alias("block")))
-    all_ = df.groupBy("k").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    block = F.concat(F.lit("\n*D_NET *"), F.col("i"), F.lit(" "), F.col("total_cap"), F.lit("\n*CONN\n"), pins, F.lit("*RES\n1 *"), F.col("i"), F.lit(":1 *"), F.col("i"), F.lit(":2 "), F.col("resistance"), F.lit("\n*END\n"))
+    df = df.select("k", "i", F.concat(F.lit("*"), F.col("i"), F.lit(" "), F.col("net"), F.lit("\n")).alias("name"), block.alias("block"))
     head = f'*SPEF "IEEE 1481-1998"\n*DESIGN "{design}"\n*DIVIDER /\n*DELIMITER :\n*T_UNIT 1 NS\n*C_UNIT 1 FF\n*R_UNIT 1 OHM\n\n*NAME_MAP\n'
-    return all_.select(F.col("k").cast("string").alias("path"), F.concat(F.lit(head), F.array_join(F.col("s.name"), "\n"), F.lit("\n\n"), F.array_join(F.col("s.block"), "\n")).alias("value"))
+
+    def run(batches):  # a window gives its rows by group and in order
+        for b in batches:
+            keys, at = b.column("k").to_pylist(), 0
+            while at < len(keys):
+                size = next((n for n in range(1, min(most, len(keys) - at)) if keys[at + n] != keys[at]), min(most, len(keys) - at))
+                i, names, blocks = (b.column(c).slice(at, size).to_pylist() for c in ("i", "name", "block"))
+                first = [(0, head)] if i[0] == 1 else []
+                made = [*first, (i[0], "".join(v for v in names if v is not None)), ((1 << 61) + i[0], "".join(v for v in blocks if v is not None))]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([keys[at]] * len(made), pa.string()), "part": pa.array([p for p, _ in made], pa.int64()), "value": [v for _, v in made]})
+                at += size
+
+    return df.mapInArrow(run, "path string, part bigint, value string")
 
 
 # --- Liberty ---

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from maskloom.sources import layout
+from maskloom.sources import layout, netlists
 
 
 def elements(spark, fmt, n=90):
@@ -46,3 +46,23 @@ def test_pieces_must_end_between_elements(spark):
         files = spark.createDataFrame([("f", 0, bytearray(layout.gds_open("A") + data[:cut])), ("f", 1, bytearray(data[cut:]))], "path string, part bigint, content binary")
         with pytest.raises(Exception, match="f: "):
             layout.parse(files, "gds").collect()
+
+
+def test_spef_in_pieces(spark):
+    """Small pieces give what the file as a whole gives, names of couplings too."""
+    rows = [(f"n{i:03}", float(i), i % 7 + 0.5, [f"P{j}:A" for j in range(i % 4)], i % 2) for i in range(60)]
+    nets = spark.createDataFrame(rows, "net string, total_cap double, resistance double, connections array<string>, g int")
+    pieces = netlists.write_spef(nets, "top", "g", 4)
+    assert pieces.agg(F.max(F.length("value"))).first()[0] < 500 and pieces.count() == 2 * (1 + 2 * 8)
+    texts = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.path, r.part)):
+        texts[r.path] = texts.get(r.path, "") + r.value
+    assert texts["0"].splitlines()[9] == "*1 n000" and texts["0"].count("*D_NET") == 30
+    # a coupling in the last piece of one file names a net of the first, and one that has no name
+    more = '\n*D_NET *3 4.0\n*CONN\n*CAP\n1 *3:GROUND *1:4 0.25\n2 *3:GROUND *99 0.5\n3 *3:GROUND other:1 0.75\n*END\n'
+    texts["0"] += more
+    pieces = pieces.unionByName(spark.createDataFrame([("0", 1 << 62, more)], "path string, part bigint, value string"))
+    key = lambda df: sorted(map(str, df.collect()))
+    got = netlists.read_spef(pieces)
+    assert key(got) == key(netlists.read_spef(spark.createDataFrame(list(texts.items()), "path string, value string")))
+    assert [(c.net, c.cap) for r in got.filter("size(coupling) > 0").collect() for c in r.coupling] == [("n000", 0.25), ("net_99", 0.5), ("other", 0.75)]
