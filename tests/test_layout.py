@@ -192,6 +192,24 @@ def test_routes_get_all_rounds(spark):
         assert got.nets == n and got.overflow == 0
 
 
+def test_regions_are_routed_apart_and_as_by_the_kernel(spark):
+    rng = random.Random(2)
+    rows = [(r, i, *[rng.randrange(7) for _ in range(4)]) for r in range(8) for i in range(0 if r == 5 else 15 * r + 1)]
+    rows += [(9, 0, 2, 2, 2, 2), (9, 1, 6, 0, 0, 6)]
+    pins = spark.createDataFrame(rows[::-1], "region bigint, net bigint, sx bigint, sy bigint, tx bigint, ty bigint")
+    out = kernels.region_routes(pins, 7, 3)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 2  # few rows, but much work
+    for r in got:
+        routes, over = kernels.negotiated(7, 7, [((a, b), (c, d)) for k, _, a, b, c, d in rows if k == r.region], 3)
+        assert (r.nets, r.length, r.overflow) == (len(routes), sum(len(p) - 1 for p in routes), over)
+    assert sorted(r.region for r in got) == [0, 1, 2, 3, 4, 6, 7, 9] and max(r.overflow for r in got) > 0
+    for bad in (7, -1, None):
+        with pytest.raises(Exception, match="outside the grid"):
+            kernels.region_routes(spark.createDataFrame([(0, 0, 1, 1, 2, bad)], pins.schema), 7, 3).collect()
+
+
 def test_table_text_is_read_once(spark):
     df = spark.createDataFrame([('index_1 ("1, 3"); index_2 ("2, 4"); values ("1, 2", "3, 4");', 2.0, 3.0), (None, 2.0, 3.0)], "t string, s double, l double")
     out = df.select(G.table_at(F.col("t"), F.col("s"), F.col("l")).alias("v"))
