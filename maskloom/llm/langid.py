@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,9 +56,10 @@ class Model:
 def presence(raw: np.ndarray, off: np.ndarray, tables: list[np.ndarray], columns: int, orders_at: list[int]) -> np.ndarray:
     """Rows of n-gram presence over the vocabulary; each order's part has length one (or is zero)."""
     out = np.zeros((len(off) - 1, columns + 1), np.float32)
-    for order, table in zip(ORDERS, tables, strict=True):
-        code, row = gram_codes(raw, off, order)
-        out[row, table[code]] = 1
+    for a, b in common.blocks(off):
+        for order, table in zip(ORDERS, tables, strict=True):
+            code, row = gram_codes(raw[off[a] : off[b]], off[a : b + 1] - off[a], order)
+            out[a + row, table[code]] = 1
     out = out[:, :columns]
     for a, b in zip(orders_at[:-1], orders_at[1:], strict=True):
         part = out[:, a:b]
@@ -73,9 +75,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     raw = np.frombuffer(b"".join(raws), np.uint8)
     vocabulary = []
     for order in ORDERS:
-        code, row = gram_codes(raw, off, order)
-        pairs = np.unique(code.astype(np.int64) << 32 | row)
-        codes, counts = np.unique(pairs >> 32, return_counts=True)
+        own = []  # the distinct codes of each row
+        for a, b in common.blocks(off):
+            code, row = gram_codes(raw[off[a] : off[b]], off[a : b + 1] - off[a], order)
+            own.append((np.unique(code.astype(np.int64) << 32 | row) >> 32).astype(np.int32))
+        codes, counts = np.unique(np.concatenate(own), return_counts=True)
         vocabulary.append(codes[counts >= min(least, len(rows))])
     at = np.concatenate([[0], np.cumsum([len(v) for v in vocabulary])]).tolist()
     model = Model(languages, vocabulary, np.zeros((0, at[-1]), np.float32), np.zeros((0, 0)), np.zeros(0))
@@ -108,8 +112,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `most` labelled rows of each language, chosen by a hash of the id, from rows that are not held out.
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> DataFrame:
+    """(lang, text, r): at most `most` labelled rows of each language, numbered in it, chosen by a hash of the id, from rows that are not held out.
 
     A first count gives each language a hash bound that leaves a few times `most` rows, so that no window holds a language whole.
     """
@@ -119,8 +123,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     counts = common.materialize(keyed.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # of known size, so that Spark sends it while it is small
     near = keyed.join(counts, "lang").filter(F.col("at") * F.col("n") < F.lit(4 * most << 30).cast("double"))
     first = Window.partitionBy("lang").orderBy("at", "text")
-    rows = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most).select("lang", "text", "r").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.r))]
+    return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most).select("lang", "text", "r")
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -165,9 +168,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def train(docs: DataFrame, **names) -> Model | None:
-    """The model of the bounded sample; None if there is no labelled row."""
-    rows = sample(docs, **names)
-    return fit(rows) if rows else None
+    """The model of the bounded sample, learned in one task, so that the driver gets the model alone; None if there is no labelled row."""
+
+    def run(batches):
+        rows = [(r["lang"], r["r"], r["text"]) for batch in batches for r in batch.to_pylist()]
+        if rows:
+            model = fit([(text, lang) for lang, _, text in sorted(rows)])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, pickle.HIGHEST_PROTOCOL)], pa.binary())], ["model"])
+
+    made = sample(docs, **names).repartition(1).mapInArrow(common.released(run), "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def accepted(docs: DataFrame, least: float = 0.2) -> DataFrame:

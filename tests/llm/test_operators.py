@@ -451,6 +451,25 @@ def test_large_nodes_compare_all_pairs(spark, monkeypatch):
     assert all(comp.get(2 * i, -1) == comp.get(2 * i + 1, -2) for i in range(60))
 
 
+def test_components_go_no_further_than_stars(spark, monkeypatch):
+    written, rng = [], random.Random(8)
+    keep = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *a: written.append(a) or keep(df, *a))
+    stars = [(b + k, b) for b in range(0, 300, 10) for k in range(1, 10)]
+    for links in (stars, [(b, a) for a, b in stars] * 2, [(1, 1)], [(5, 9), (9, 7), (7, 7), (3, 8)], [(i, i + 1) for i in range(40)], [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]):
+        want = {}
+        for a, b in links:
+            if a != b:
+                both = {a, b} | want.get(a, set()) | want.get(b, set())
+                want |= dict.fromkeys(both, both)
+        written.clear()
+        got = common.components(spark.createDataFrame(links, "a bigint, b bigint"), "test").collect()
+        assert sorted((r.node, r.comp) for r in got) == sorted((x, min(y)) for x, y in want.items())
+        assert len(written) == 1 or not set(links) <= {*stars, *((b, a) for a, b in stars), (1, 1)}  # links that are stars take no round
+    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
+        common.components(spark.createDataFrame([(i, i + 1) for i in range(4000)], "a bigint, b bigint"), "test", most=2)
+
+
 def test_trees_hold_the_miss_rate_at_every_depth():
     for depth in range(1, 7):
         trees = neardup.trees_for(0.8, depth)
@@ -566,6 +585,27 @@ def test_language(spark, docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_is_learned_in_a_task(docs, monkeypatch):
+    rows = [(r.text, r.lang) for r in sorted(langid.sample(docs).collect(), key=lambda r: (r.lang, r.r))]
+    want = langid.fit(rows)
+    monkeypatch.setattr(langid, "presence", None)  # here, not in workers
+    got = langid.train(docs)
+    assert got.languages == want.languages and all((a == b).all() for a, b in zip(got.vocabulary, want.vocabulary, strict=True))
+    assert (got.landmarks == want.landmarks).all() and np.allclose(got.weights, want.weights, atol=0.001) and np.allclose(got.bias, want.bias, atol=0.001)  # rounding goes by the process's number of threads
+
+
+def test_learning_goes_block_by_block(monkeypatch):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 90))), rng.choice(["x", "y"])) for _ in range(60)]
+    whole, most = langid.fit(rows), []
+    codes, blocks = langid.gram_codes, common.blocks
+    monkeypatch.setattr(common, "blocks", lambda off, most=100: blocks(off, most))
+    monkeypatch.setattr(langid, "gram_codes", lambda raw, off, order: most.append(len(raw)) or codes(raw, off, order))
+    got = langid.fit(rows)
+    assert max(most) <= 200 and all((a == b).all() for a, b in zip(got.vocabulary, whole.vocabulary, strict=True))
+    assert (got.landmarks == whole.landmarks).all() and (got.weights == whole.weights).all() and (got.bias == whole.bias).all()
+
+
 def test_kernel_is_exact():
     rows = [("the cat sat", "en"), ("der hund lief", "de"), ("the dog ran", "en"), ("die katze", "de")]
     model = langid.fit(rows, least=1)
